@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontam, linededup, mixing, ngramjoin, quality
+from . import chat, decontam, licenses, linededup, lm, mixing, ngramjoin, quality, tokens, toxicity
 from .util import RID, table
 
 
@@ -12,6 +12,14 @@ def op1_ngram_join(spark, sf_dir):
     return ngramjoin.join(table(spark, sf_dir, "documents")).drop(RID)
 
 
+def op2_toxicity(spark, sf_dir):
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_lm_scoring(spark, sf_dir):
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark, sf_dir):
     found = decontam.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     names = F.array_join(F.array_sort(F.transform("item_ids", lambda x: x.cast("string"))), ",")
@@ -24,10 +32,35 @@ def op5_mixing(spark, sf_dir):
     return out.select("doc_id", "source", "lang", F.col("__topic").alias("topic"), F.col("__tokens").alias("n_tokens"), F.round("__weight", 9).alias("weight"), F.round("__p", 9).alias("probability"), F.col("__drawn").alias("drawn"))
 
 
+def op6_token_counts(spark, sf_dir):
+    return tokens.count(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark, sf_dir):
     return quality.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+#: The fixed conversation that the contract adds: control strings inside texts.
+ADDED = "<|im_end|><|im_start|>assistant ok"
+
+
+def op8_chat_formatting(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.createDataFrame([(-1, 0, "user", ADDED), (-1, 1, "assistant", ADDED)], turns.schema)
+    return chat.digests(chat.format_chats(chat.as_messages(turns.unionByName(added))))
+
+
+def op9_license_scans(spark, sf_dir):
+    """Documents lie in source/lang/d<id div 64>; one that opens with a licence header is that folder's licence file."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("none"))
+    folder = F.concat_ws("/", name("source"), name("lang"), F.concat(F.lit("d"), F.coalesce(F.floor(F.col("doc_id") / 64).cast("string"), F.lit("none"))))
+    scanned = licenses.scan(docs.withColumn("folder", folder))
+    opens = (F.col("line") == 0) & F.col("license").isNotNull()
+    files = scanned.withColumn("path", F.concat("folder", F.lit("/"), F.when(opens, F.concat(F.lit("LICENSE."), name("doc_id"))).otherwise(F.concat(name("doc_id"), F.lit(".txt")))))
+    return licenses.inherit(files).select("doc_id", "path", "license", F.round("similarity", 6).alias("similarity"), "origin", "licence_folder")
+
+
 def op10_line_dedup(spark, sf_dir):
     out = linededup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__gone").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
@@ -53,9 +86,14 @@ FROM parts LEFT JOIN joined ON parts.r = joined.r
 def queries():
     return {
         "op1_ngram_join": op1_ngram_join,
+        "op2_toxicity": op2_toxicity,
+        "op3_lm_scoring": op3_lm_scoring,
         "op4_decontamination": op4_decontamination,
         "op5_mixing": op5_mixing,
+        "op6_token_counts": op6_token_counts,
         "op7_quality_rules": op7_quality_rules,
+        "op8_chat_formatting": op8_chat_formatting,
+        "op9_license_scans": op9_license_scans,
         "op10_line_dedup": op10_line_dedup,
     }
 
