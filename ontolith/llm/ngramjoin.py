@@ -5,7 +5,7 @@ and bytes over 127; a shorter text is one shingle). Texts with the same set form
 and only a representative goes on. In each run a set picks its least tokens under a hash
 that depends on the path so far, and sets that share a path share a bucket. Buckets over
 BUCKET sets are split again by the next token of the path, down to DEPTH. Inside a bucket,
-128-bin minima are compared by leaders, which links candidates by few edges, not by all
+128-bin minima are compared by leaders, which gives a forest of candidate edges, not all
 pairs. Components of those edges are small candidate clusters; there whole shingle sets are
 compared exactly. Clusters over BLOCK sets are dealt out as pairs of blocks, so that no task
 holds an unbounded group, and inside a block the triangle inequality of Jaccard distance
@@ -134,73 +134,88 @@ def alike(m: np.ndarray, one: np.ndarray) -> np.ndarray:
     return ((m == one) & full).sum(1) / np.maximum(full.sum(1), 1)
 
 
-def leaders(m: np.ndarray) -> tuple[list[tuple[int, int]], list[int]]:
-    """Edges (leader, member) that connect all rows that may be near each other; the leaders.
+def leaders(m: np.ndarray) -> list[tuple[int, int]]:
+    """Edges that connect all rows that may be near each other: a forest, never all pairs.
 
     A row at least SURE alike to a leader follows it and leads nothing. Whatever is near a
-    follower is then alike to the leader by NEAR, by the triangle inequality, and gets an
-    edge to it too; so do leaders of two lots whose followers are near each other.
+    follower is then alike to the leader by NEAR, by the triangle inequality.
     """
-    live, edges, tops = np.arange(len(m)), [], []
-    while len(live):
-        top, rest = live[0], live[1:]
-        tops.append(int(top))
+    live, edges, parent = np.arange(len(m)), [], list(range(len(m)))
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    while len(live) > 1:
+        top, rest = int(live[0]), live[1:]
         a = alike(m[rest], m[top])
-        edges += [(int(top), int(x)) for x in rest[a >= NEAR]]
+        for x in rest[a >= NEAR].tolist():
+            i, j = root(top), root(x)
+            if i != j:
+                parent[max(i, j)] = min(i, j)
+                edges.append((top, x))
         live = rest[a < SURE]
-    return edges, tops
+    return edges
 
 
 def _bucket_edges(batches):
-    """Rows are buckets (path, sks, sketches); gives their edges, and their leaders as rows with a sketch."""
+    """Rows are buckets (sks, sketches)."""
     for b in batches:
-        path, ea, eb, ek = [], [], [], []
-        for p, sks, sketches in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-            edges, tops = leaders(np.frombuffer(b"".join(sketches), np.uint16).reshape(len(sks), BINS))
-            for i, j in edges:
-                path.append(p), ea.append(sks[i]), eb.append(sks[j]), ek.append(None)
-            for i in tops:
-                path.append(p), ea.append(sks[i]), eb.append(None), ek.append(sketches[i])
-        yield pa.RecordBatch.from_arrays([pa.array(path, pa.int64()), pa.array(ea, pa.binary()), pa.array(eb, pa.binary()), pa.array(ek, pa.binary())], names=["path", "a", "b", "sketch"])
+        ea, eb = [], []
+        for sks, sketches in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for i, j in leaders(np.frombuffer(b"".join(sketches), np.uint16).reshape(len(sks), BINS)):
+                ea.append(sks[i]), eb.append(sks[j])
+        yield pa.RecordBatch.from_arrays([pa.array(ea, pa.binary()), pa.array(eb, pa.binary())], names=["a", "b"])
 
 
-def _compared(rows: DataFrame) -> DataFrame:
-    """rows: path, lot, sk, sketch."""
-    groups = rows.groupBy("path", "lot").agg(F.sort_array(F.collect_list(F.struct("sk", "sketch"))).alias("g")).select("path", F.col("g.sk").alias("s"), F.col("g.sketch").alias("k"))
-    return groups.mapInArrow(_bucket_edges, "path long, a binary, b binary, sketch binary")
+def _compared(rows: DataFrame, reps: DataFrame) -> DataFrame:
+    """Edges within each (path, lot) of rows (path, lot, sk); only these rows' sketches are moved."""
+    full = rows.select("path", "lot", "sk").distinct().join(reps.select("sk", "sketch"), "sk")
+    groups = full.groupBy("path", "lot").agg(F.sort_array(F.collect_list(F.struct("sk", "sketch"))).alias("g")).select(F.col("g.sk").alias("s"), F.col("g.sketch").alias("k"))
+    return cut(groups.mapInArrow(_bucket_edges, "a binary, b binary"))
 
 
 def _candidates(reps: DataFrame) -> DataFrame:
-    """(a, b) candidate edges between class representatives."""
-    edges, opened = [], None
+    """(a, b) candidate edges between class representatives.
+
+    A bucket of up to BUCKET sets is one lot. A larger one is dealt into lots. When the lots are
+    done, the sets of a large bucket that aren't yet in its main component are compared with all
+    of it, if they are few; else the bucket is split by the next token of its path.
+    """
+    edges, opened = None, None
     for d in range(1, DEPTH + 1):
         above = f"p{d - 1}[i div {FAN}]" if d > 1 else "0L"
-        rows = reps.select("sk", "sketch", F.explode(F.expr(f"transform(p{d}, (p, i) -> struct({above} as above, p as path))")).alias("x")).select("sk", "sketch", "x.above", "x.path")
+        rows = reps.select("sk", F.explode(F.expr(f"transform(p{d}, (p, i) -> struct({above} as above, p as path))")).alias("x")).select("sk", "x.above", "x.path")
         if opened is not None:
             rows = rows.join(opened, "above", "left_semi")
-        rows = rows.drop("above")
-        # Sizes first: most paths belong to one set, and their sketches are never moved.
-        sizes = cut(rows.select("sk", "path").distinct().groupBy("path").agg(F.count("*").alias("m")).where("m > 1").withColumn("lots", F.ceil(F.col("m") / BUCKET)))
-        inside = rows.join(sizes, "path").dropDuplicates(["sk", "path"]).withColumn("lot", F.pmod(F.xxhash64("sk", "path"), F.col("lots")))
-        made = cut(_compared(inside))
-        edges.append(made.where("b is not null").select("a", "b"))
-        # The lots of a large bucket have left their leaders. Few enough meet in one lot.
-        tops = made.where("b is null").join(sizes.where("lots > 1"), "path").select("path", F.col("a").alias("sk"), "sketch")
-        left = cut(tops.groupBy("path").agg(F.count("*").alias("m")).withColumn("lots", F.ceil(F.col("m") / BUCKET)))
-        edges.append(_compared(tops.join(left.where("lots = 1"), "path").withColumn("lot", F.lit(0))).where("b is not null").select("a", "b"))
-        opened = left.where("lots > 1").select(F.col("path").alias("above"))
+        rows = rows.select("sk", "path").distinct()
+        sizes = cut(rows.groupBy("path").agg(F.count("*").alias("m")).where("m > 1").withColumn("lots", F.ceil(F.col("m") / BUCKET)))
+        own = F.pmod(F.xxhash64("sk", "path"), F.col("lots"))
+        made = _compared(rows.join(sizes, "path").withColumn("lot", own), reps)
+        edges = made if edges is None else edges.unionByName(made)
+        large = sizes.where("lots > 1")
+        if not large.limit(1).count():
+            return edges
+        found = components(edges)
+        inside = cut(rows.join(large, "path").withColumn("own", own).join(found.withColumnRenamed("node", "sk"), "sk", "left").withColumn("label", F.coalesce("label", "sk")))
+        main = inside.groupBy("path", "label").agg(F.count("*").alias("k")).groupBy("path").agg(F.max(F.struct("k", "label")).alias("main"))
+        inside = cut(inside.join(main, "path").select("path", "sk", "own", "lots", (F.col("label") != F.col("main.label")).alias("out"), (F.col("m") - F.col("main.k")).alias("rest")).where("rest > 0"))
+        few = inside.where(F.col("rest") <= BUCKET)
+        outside = few.where("out").select("path", "sk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lots") - 1)).alias("lot"))
+        edges = edges.unionByName(_compared(few.select("path", "sk", F.col("own").alias("lot")).unionByName(outside), reps))
+        many = inside.where(F.col("rest") > BUCKET)
+        opened = cut(many.select(F.col("path").alias("above")).distinct())
         if not opened.limit(1).count():
-            break
-    else:
-        # Unlike sets that share DEPTH tokens: each pair of lots of their leaders is compared.
-        mine = F.pmod(F.xxhash64("sk", "path"), F.col("lots"))
-        pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("lots") - 1), lambda j: F.least(j, F.col("mine")) * F.col("lots") + F.greatest(j, F.col("mine")))
-        dealt = tops.join(left.where("lots > 1"), "path").withColumn("mine", mine).select("path", "sk", "sketch", F.explode(pairs).alias("lot"))
-        edges.append(_compared(dealt).where("b is not null").select("a", "b"))
-    out = edges[0]
-    for e in edges[1:]:
-        out = out.unionByName(e)
-    return out
+            return edges
+    # Unlike sets that share DEPTH sampled tokens: lots of the ones outside against all lots.
+    side = F.ceil(F.col("rest") / BUCKET)
+    lots = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    mine = F.pmod(F.xxhash64("path", "sk"), side)
+    everyone = many.select("path", "sk", "own", F.explode(lots(side)).alias("j"), "lots").select("path", "sk", (F.col("j") * F.col("lots") + F.col("own")).alias("lot"))
+    outside = many.where("out").select("path", "sk", mine.alias("j"), "lots", F.explode(lots(F.col("lots"))).alias("i")).select("path", "sk", (F.col("j") * F.col("lots") + F.col("i")).alias("lot"))
+    return edges.unionByName(_compared(everyone.unionByName(outside), reps))
 
 
 def _bloom(ids: DataFrame) -> np.ndarray:
