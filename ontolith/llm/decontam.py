@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from . import textops as X
 
 WINDOW = 8
-SHARD_WORDS = 2_000_000
+SHARD_WORDS = 1_000_000
 STEP = 8
 BLOCK_WINDOWS = 1 << 20
 CONTAMINATED = 2
@@ -195,33 +195,35 @@ def item_windows(items: list[tuple[int, str]], window: int = WINDOW):
 
 
 def _covered(hashes, first, blocks):
-    """Which words are covered, and per text the ids of the items found."""
+    """Which words are covered, which by windows of full size, and per text the ids of the items found."""
     texts = len(first) - 1
     items = [set() for _ in range(texts)]
     if not len(hashes) or not blocks:
-        return np.zeros(len(hashes), bool), items
+        return np.zeros(len(hashes), bool), np.zeros(len(hashes), bool), items
     index = FMIndex(hashes, first)
-    cover = np.zeros(len(hashes) + 1, np.int64)
+    cover, full = np.zeros(len(hashes) + 1, np.int64), np.zeros(len(hashes) + 1, np.int64)
     for grams, sizes, owners, bounds in (b.value for b in blocks):
         which, text, at = index.find(grams, sizes)
         start = first[text] + at
-        cover += np.bincount(start, minlength=len(cover)) - np.bincount(start + sizes[which], minlength=len(cover))
+        end, whole = start + sizes[which], sizes[which] == grams.shape[1]
+        cover += np.bincount(start, minlength=len(cover)) - np.bincount(end, minlength=len(cover))
+        full += np.bincount(start[whole], minlength=len(full)) - np.bincount(end[whole], minlength=len(full))
         for x in np.unique(which.astype(np.int64) * texts + text):
             p, d = divmod(int(x), texts)
             items[d].update(owners[bounds[p] : bounds[p + 1]].tolist())
-    return np.cumsum(cover)[:-1] > 0, items
+    return np.cumsum(cover)[:-1] > 0, np.cumsum(full)[:-1] > 0, items
 
 
 def _scan(blocks, window, shard_words):
-    """A function of a text column: for each text (covered words, item ids, byte bounds of words)."""
+    """A function of a text column: for each text (covered words, those by full windows, item ids, byte bounds of words)."""
 
     def results(text):
         out, held, sizes, places = [], [], [], []
 
         def flush():
             first = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-            cover, items = _covered(np.concatenate(held) if held else np.zeros(0, np.uint64), first, blocks)
-            out.extend((cover[first[i] : first[i + 1]], items[i], places[i]) for i in range(len(sizes)))
+            cover, full, items = _covered(np.concatenate(held) if held else np.zeros(0, np.uint64), first, blocks)
+            out.extend((cover[first[i] : first[i + 1]], full[first[i] : first[i + 1]], items[i], places[i]) for i in range(len(sizes)))
             held.clear(), sizes.clear(), places.clear()
 
         for a, b in X.slices(text):
@@ -234,13 +236,14 @@ def _scan(blocks, window, shard_words):
                 if len(own) + 2 > shard_words:
                     # A very long text goes in pieces whose overlap keeps every window whole.
                     flush()
-                    mask, found, step = np.zeros(len(own), bool), set(), shard_words - 2 - window
+                    mask, whole, found, step = np.zeros(len(own), bool), np.zeros(len(own), bool), set(), shard_words - 2 - window
                     for at in range(0, max(len(own) - window, 1), step):
                         piece = own[at : at + step + window]
-                        cover, items = _covered(piece, np.array([0, len(piece)]), blocks)
+                        cover, full, items = _covered(piece, np.array([0, len(piece)]), blocks)
                         mask[at : at + len(piece)] |= cover
+                        whole[at : at + len(piece)] |= full
                         found |= items[0]
-                    out.append((mask, found, place))
+                    out.append((mask, whole, found, place))
                     continue
                 if sum(sizes) + len(sizes) + len(own) + 2 > shard_words:
                     flush()
@@ -288,10 +291,10 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_word
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
-                    pa.array([len(c) for c, _, _ in found], pa.int64()),
-                    pa.array([int(c.sum()) for c, _, _ in found], pa.int64()),
-                    pa.array([sorted(x) for _, x, _ in found], pa.list_(pa.int64())),
-                    pa.array([[{"start": a, "end": b} for a, b in spans_of(c)] for c, _, _ in found], kind),
+                    pa.array([len(c) for c, _, _, _ in found], pa.int64()),
+                    pa.array([int(c.sum()) for c, _, _, _ in found], pa.int64()),
+                    pa.array([sorted(x) for _, _, x, _ in found], pa.list_(pa.int64())),
+                    pa.array([[{"start": a, "end": b} for a, b in spans_of(c)] for c, _, _, _ in found], kind),
                 ],
                 names=["doc_id", "n_words", "n_hit", "item_ids", "spans"],
             )
@@ -299,11 +302,12 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_word
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_words long, n_hit long, item_ids array<long>, spans array<struct<start:long,end:long>>")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS, least: int = CONTAMINATED, strip: bool = False) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS, least: int = CONTAMINATED) -> DataFrame:
     """Documents without the contaminated ones (windows of `least` items or more).
 
-    With strip, contaminated documents stay and their covered words go, from the first
-    byte of a merged span to its last.
+    In the others, words covered by full windows go, from the first byte of a merged span to its
+    last: eight words of an item in a row are no chance. Shorter items alone, which can be
+    chance, change nothing. A text of which nothing is left goes too.
     """
     results = _scan(blocks_of(benchmark, window), window, shard_words)
     at = docs.columns.index("text")
@@ -311,20 +315,17 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_wor
     def run(batches):
         for batch in batches:
             found = results(batch.column(at))
-            if not strip:
-                yield batch.filter(pa.array([len(x) < least for _, x, _ in found], pa.bool_()))
-                continue
-            texts = []
-            for text, (cover, names, (start, end)) in zip(batch.column(at).to_pylist(), found, strict=True):
-                if len(names) >= least:
-                    raw, kept, last = text.encode(), [], 0
-                    for a, b in spans_of(cover):
+            texts, keep = batch.column(at).to_pylist(), []
+            for i, (_, full, names, (start, end)) in enumerate(found):
+                keep.append(len(names) < least and not (len(full) and full.all()))
+                if keep[-1] and full.any():
+                    raw, kept, last = texts[i].encode(), [], 0
+                    for a, b in spans_of(full):
                         kept.append(raw[last : start[a]])
                         last = int(end[b - 1])
-                    text = b"".join([*kept, raw[last:]]).decode()
-                texts.append(text)
+                    texts[i] = b"".join([*kept, raw[last:]]).decode()
             cols = list(batch.columns)
             cols[at] = pa.array(texts, cols[at].type)
-            yield pa.RecordBatch.from_arrays(cols, schema=batch.schema)
+            yield pa.RecordBatch.from_arrays(cols, schema=batch.schema).filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
