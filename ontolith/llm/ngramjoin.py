@@ -177,14 +177,14 @@ def _compared(rows: DataFrame, reps: DataFrame) -> DataFrame:
     return cut(groups.mapInArrow(_bucket_edges, "a binary, b binary"))
 
 
-def _candidates(reps: DataFrame) -> DataFrame:
-    """(a, b) candidate edges between class representatives.
+def _clusters(reps: DataFrame) -> DataFrame:
+    """(node, label): components of candidate edges between class representatives.
 
     A bucket of up to BUCKET sets is one lot. A larger one is dealt into lots. When the lots are
     done, the sets of a large bucket that aren't yet in its main component are compared with all
     of it, if they are few; else the bucket is split by the next token of its path.
     """
-    edges, opened = None, None
+    found, more, opened = None, None, None
     for d in range(1, DEPTH + 1):
         above = f"p{d - 1}[i div {FAN}]" if d > 1 else "0L"
         rows = reps.select("sk", F.explode(F.expr(f"transform(p{d}, (p, i) -> struct({above} as above, p as path))")).alias("x")).select("sk", "x.above", "x.path")
@@ -194,28 +194,47 @@ def _candidates(reps: DataFrame) -> DataFrame:
         sizes = cut(rows.groupBy("path").agg(F.count("*").alias("m")).where("m > 1").withColumn("lots", F.ceil(F.col("m") / BUCKET)))
         own = F.pmod(F.xxhash64("sk", "path"), F.col("lots"))
         made = _compared(rows.join(sizes, "path").withColumn("lot", own), reps)
-        edges = made if edges is None else edges.unionByName(made)
+        if found is None:
+            found = components(made)
+        else:
+            more = made if more is None else more.unionByName(made)
         large = sizes.where("lots > 1")
         if not large.limit(1).count():
-            return edges
-        found = components(edges)
-        inside = cut(rows.join(large, "path").withColumn("own", own).join(found.withColumnRenamed("node", "sk"), "sk", "left").withColumn("label", F.coalesce("label", "sk")))
+            break
+        # Labels of the first level will do at all: finer ones only mean more to compare.
+        inside = rows.join(large, "path").withColumn("own", own).join(found.withColumnRenamed("node", "sk"), "sk", "left").withColumn("label", F.coalesce("label", "sk"))
+        inside = cut(inside)
         main = inside.groupBy("path", "label").agg(F.count("*").alias("k")).groupBy("path").agg(F.max(F.struct("k", "label")).alias("main"))
         inside = cut(inside.join(main, "path").select("path", "sk", "own", "lots", (F.col("label") != F.col("main.label")).alias("out"), (F.col("m") - F.col("main.k")).alias("rest")).where("rest > 0"))
         few = inside.where(F.col("rest") <= BUCKET)
         outside = few.where("out").select("path", "sk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lots") - 1)).alias("lot"))
-        edges = edges.unionByName(_compared(few.select("path", "sk", F.col("own").alias("lot")).unionByName(outside), reps))
+        made = _compared(few.select("path", "sk", F.col("own").alias("lot")).unionByName(outside), reps)
+        more = made if more is None else more.unionByName(made)
         many = inside.where(F.col("rest") > BUCKET)
         opened = cut(many.select(F.col("path").alias("above")).distinct())
         if not opened.limit(1).count():
-            return edges
-    # Unlike sets that share DEPTH sampled tokens: lots of the ones outside against all lots.
-    side = F.ceil(F.col("rest") / BUCKET)
-    lots = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
-    mine = F.pmod(F.xxhash64("path", "sk"), side)
-    everyone = many.select("path", "sk", "own", F.explode(lots(side)).alias("j"), "lots").select("path", "sk", (F.col("j") * F.col("lots") + F.col("own")).alias("lot"))
-    outside = many.where("out").select("path", "sk", mine.alias("j"), "lots", F.explode(lots(F.col("lots"))).alias("i")).select("path", "sk", (F.col("j") * F.col("lots") + F.col("i")).alias("lot"))
-    return edges.unionByName(_compared(everyone.unionByName(outside), reps))
+            break
+    else:
+        # Unlike sets that share DEPTH sampled tokens: lots of the ones outside against all lots.
+        side = F.ceil(F.col("rest") / BUCKET)
+        lots = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+        mine = F.pmod(F.xxhash64("path", "sk"), side)
+        everyone = many.select("path", "sk", "own", F.explode(lots(side)).alias("j"), "lots").select("path", "sk", (F.col("j") * F.col("lots") + F.col("own")).alias("lot"))
+        outside = many.where("out").select("path", "sk", mine.alias("j"), "lots", F.explode(lots(F.col("lots"))).alias("i")).select("path", "sk", (F.col("j") * F.col("lots") + F.col("i")).alias("lot"))
+        more = more.unionByName(_compared(everyone.unionByName(outside), reps))
+    return found if more is None else _merged(found, more)
+
+
+def _merged(found: DataFrame, more: DataFrame) -> DataFrame:
+    """Components (node, label) joined up by further edges (a, b): only what lies between components is looked at."""
+    at = lambda c: found.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
+    between = cut(more.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).where("a <> b").distinct())
+    if not between.limit(1).count():
+        return found
+    joined = components(between).select(F.col("node").alias("old"), F.col("label").alias("new"))
+    ends = between.select(F.col("a").alias("node")).unionByName(between.select(F.col("b").alias("node"))).distinct()
+    known = found.unionByName(ends.join(found, "node", "left_anti").select("node", F.col("node").alias("label")))
+    return cut(known.join(joined, F.col("label") == F.col("old"), "left").select("node", F.coalesce("new", "label").alias("label")))
 
 
 def _bloom(ids: DataFrame) -> np.ndarray:
@@ -300,23 +319,37 @@ def exact_links(sets: list[np.ndarray], weight: np.ndarray, left: np.ndarray, ri
 
 
 def _verify(threshold):
-    """Rows are blocks (i, j, list of (sk, copies, block, members))."""
+    """Rows are pairs of blocks (i, j, blocks, list of (sk, copies, block, members)).
+
+    Gives each set's links, with its component's least set where the cluster is one block; for
+    larger clusters a forest of links follows.
+    """
 
     def run(batches):
         for batch in batches:
-            sk, links, other = [], [], []
-            for i, j, rows in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+            sk, links, label, other = [], [], [], []
+            for i, j, blocks, rows in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
                 sets = [np.frombuffer(r["members"], np.uint64) for r in rows]
                 block = np.array([r["block"] for r in rows])
                 left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
                 if not len(left) or not len(right):
                     continue
                 total, forest = exact_links(sets, np.array([r["copies"] for r in rows], np.int64), left, right, threshold)
-                for r, n in zip(rows, total, strict=True):
-                    sk.append(r["sk"]), links.append(int(n)), other.append(None)
-                for a, b in forest:
-                    sk.append(rows[a]["sk"]), links.append(0), other.append(rows[b]["sk"])
-            yield pa.RecordBatch.from_arrays([pa.array(sk, pa.binary()), pa.array(links, pa.int64()), pa.array(other, pa.binary())], names=["sk", "links", "other"])
+                top = list(range(len(rows)))
+
+                def root(x, top=top):
+                    while top[x] != x:
+                        x = top[x]
+                    return x
+
+                for a, b in forest if blocks == 1 else ():
+                    a, b = root(a), root(b)
+                    top[max(a, b)] = min(a, b)
+                for k, (r, n) in enumerate(zip(rows, total, strict=True)):
+                    sk.append(r["sk"]), links.append(int(n)), other.append(None), label.append(rows[root(k)]["sk"] if blocks == 1 else None)
+                for a, b in forest if blocks > 1 else ():
+                    sk.append(rows[a]["sk"]), links.append(0), other.append(rows[b]["sk"]), label.append(None)
+            yield pa.RecordBatch.from_arrays([pa.array(sk, pa.binary()), pa.array(links, pa.int64()), pa.array(label, pa.binary()), pa.array(other, pa.binary())], names=["sk", "links", "label", "other"])
 
     return run
 
@@ -334,8 +367,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
     # Rows that may stand for a set; max_by keeps one a set before the shuffle.
     reps = signed.where("n > 0").groupBy("sk").agg(F.min("th").alias("th"), F.count("*").alias("copies"), F.min(own).alias("least"), *(F.first(f"p{d}").alias(f"p{d}") for d in range(1, DEPTH + 1)), F.first("sketch").alias("sketch"), F.first("n").alias("n"))
     reps = cut(reps)
-    edges = _candidates(reps)
-    clusters = components(edges)
+    clusters = _clusters(reps)
     sizes = clusters.groupBy("label").agg(F.count("*").alias("m")).withColumn("blocks", F.ceil(F.col("m") / BLOCK))
     placed = cut(clusters.join(sizes, "label").join(reps.select(F.col("sk").alias("node"), "th", "copies"), "node").select(F.col("node").alias("sk"), "label", "blocks", "th", "copies"))
     bloom = spark.sparkContext.broadcast(_bloom(placed))
@@ -343,9 +375,12 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
     members = hashed.mapInArrow(_sets(bloom), "sk binary, members binary").groupBy("sk").agg(F.first("members").alias("members"))
     block = F.pmod(F.xxhash64("sk"), F.col("blocks"))
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.struct(F.least(j, F.col("block")).alias("i"), F.greatest(j, F.col("block")).alias("j")))
-    dealt = placed.withColumn("block", block).join(members, "sk").select("sk", "label", "block", "copies", "members", F.explode(pairs).alias("p")).select("sk", "label", "block", "copies", "members", "p.i", "p.j")
-    checked = cut(dealt.groupBy("label", "i", "j").agg(F.sort_array(F.collect_list(F.struct("sk", "copies", "block", "members"))).alias("rows")).select("i", "j", "rows").mapInArrow(_verify(threshold), "sk binary, links long, other binary"))
-    linked = components(checked.where("other is not null").select(F.col("sk").alias("a"), F.col("other").alias("b")))
+    dealt = placed.withColumn("block", block).join(members, "sk").select("sk", "label", "block", "copies", "members", "blocks", F.explode(pairs).alias("p")).select("sk", "label", "blocks", "block", "copies", "members", "p.i", "p.j")
+    checked = cut(dealt.groupBy("label", "i", "j", "blocks").agg(F.sort_array(F.collect_list(F.struct("sk", "copies", "block", "members"))).alias("rows")).select("i", "j", "blocks", "rows").mapInArrow(_verify(threshold), "sk binary, links long, label binary, other binary"))
+    linked = checked.where("label is not null").select(F.col("sk").alias("node"), "label")
+    across = checked.where("other is not null").select(F.col("sk").alias("a"), F.col("other").alias("b"))
+    if across.limit(1).count():
+        linked = linked.unionByName(components(across))
     counts = checked.where("other is null").groupBy("sk").agg(F.sum("links").alias("links"))
     classes = reps.join(linked.withColumnRenamed("node", "sk"), "sk", "left").select("sk", "copies", "least", F.coalesce("label", "sk").alias("label"))
     heads = classes.groupBy("label").agg(F.min("least").alias("head"))
