@@ -31,10 +31,11 @@ from pyspark.sql import functions as F
 from . import textops as X
 from .util import cut, held_out
 
-ORDER = 6
-MAX_NODES = 1 << 22
+ORDER = 5
+MAX_NODES = 1 << 21
 FREQUENT = 1 << 18
-CHUNK = 1 << 23
+CHUNK = 1 << 21
+HELD = 1 << 21
 END = np.uint8(0x0A)
 _END_KEY = np.array([0x1B873593CC9E2D51], np.uint64)
 _U8 = np.uint64(8)
@@ -79,30 +80,48 @@ def _tally(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[at], np.diff(np.append(at, len(a)))
 
 
+def _merge(a, b):
+    """Sums two sorted tallies; a stable sort finds the two runs."""
+    keys, n = np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
+    o = np.argsort(keys, kind="stable")
+    keys, n = keys[o], n[o]
+    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[at], np.add.reduceat(n, at)
+
+
 def _counts(order):
+    """Tallies of a task, handed on whenever HELD keys are passed, so memory stays bounded."""
+
     def run(batches):
-        held = {0: [], 1: []}
+        fresh, held = {0: [], 1: []}, {}
+
+        def fold(kind):
+            if fresh[kind]:
+                part = _tally(np.concatenate(fresh[kind]))
+                fresh[kind] = []
+                held[kind] = _merge(held[kind], part) if kind in held else part
 
         def flush(kind):
-            if held[kind]:
-                keys, n = _tally(np.concatenate(held[kind]))
-                held[kind] = []
-                for a in range(0, len(keys), 1 << 17):
-                    k = keys[a : a + (1 << 17)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k.view(np.int64)), pa.array(n[a : a + (1 << 17)].astype(np.int64))], names=["kind", "key", "n"])
+            keys, n = held.pop(kind, (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+            for a in range(0, len(keys), 1 << 16):
+                k = keys[a : a + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k.view(np.int64)), pa.array(n[a : a + (1 << 16)].astype(np.int64))], names=["kind", "key", "n"])
 
         for b in batches:
-            for s, e in X.slices(b.column(0)):
+            for s, e in X.slices(b.column(0), 1 << 20):
                 t = X.flat(b.column(0).slice(s, e - s))
                 w = X.split(t, X.NOT_SPACE)
                 data, bounds, _ = streams(t, w, order)
-                held[0].append(grams(data, bounds, order))
-                held[1] += [X.word_hashes(t, w, lower=True), np.repeat(_END_KEY, e - s)]
+                fresh[0].append(grams(data, bounds, order))
+                fresh[1] += [X.word_hashes(t, w, lower=True), np.repeat(_END_KEY, e - s)]
                 for kind in (0, 1):
-                    if sum(map(len, held[kind])) >= CHUNK:
-                        yield from flush(kind)
-        yield from flush(0)
-        yield from flush(1)
+                    if sum(map(len, fresh[kind])) >= CHUNK:
+                        fold(kind)
+                        if len(held[kind][0]) >= HELD:
+                            yield from flush(kind)
+        for kind in (0, 1):
+            fold(kind)
+            yield from flush(kind)
 
     return run
 
@@ -116,7 +135,7 @@ class Trie:
         self.grams, self.value, self.contexts, self.first_escape, self.next_escape, self.next_total = [], [], [], [], [], []
         below = None
         for k, (g, n) in enumerate(orders):
-            n = n.astype(float)
+            n = n.astype(np.float64)
             ctx = g >> _U8
             start = np.flatnonzero(np.concatenate([[True], ctx[1:] != ctx[:-1]])) if len(g) else np.zeros(0, int)
             total = np.add.reduceat(n, start) if len(g) else np.zeros(0)
@@ -133,11 +152,11 @@ class Trie:
                 rest, left = np.zeros(len(start)), 256 - distinct
             room = rest + (left if k else 0)
             with np.errstate(divide="ignore"):
-                self.first_escape.append(np.log10(distinct / (total + distinct)))
+                self.first_escape.append(np.log10(distinct / (total + distinct)).astype(np.float32))
                 # Escaping from this context's suffix after escaping from this one; certain if nothing is left there.
                 self.next_escape.append(np.where(left > 0, np.log10(left / np.maximum(room, 1)), 0.0) if k else np.zeros(len(start)))
                 self.next_total.append(np.log10(np.maximum(room if k else left, 1)))
-                self.value.append((np.log10(n), np.repeat(np.log10(total + distinct), distinct.astype(int)) if len(g) else np.zeros(0)))
+                self.value.append((np.log10(n).astype(np.float32), np.repeat(np.log10(total + distinct), distinct.astype(int)).astype(np.float32) if len(g) else np.zeros(0, np.float32)))
             self.grams.append(X.Table(g)), self.contexts.append(X.Table(contexts))
             below = {"grams": g, "n": n, "contexts": contexts, "total": total, "distinct": distinct}
 
@@ -191,11 +210,10 @@ def _collect(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def gather_orders(counts: DataFrame, order: int, most: int = MAX_NODES) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Trie counts, whole where they fit; else with one least count that fits every order."""
+    """Trie counts: of the longest order alone where they fit, the others being their sums; else of every order, with one least count that fits all."""
     top = counts.where("kind = 0").select("key", "n")
     if top.limit(most + 1).count() <= most:
-        k, n = _collect(top)
-        return lower_orders(k, n, order)
+        return [_collect(top)]
     levels = [top]
     for k in range(order - 1, -1, -1):
         levels.append(cut(levels[-1].groupBy(F.col("key").bitwiseAND(F.lit(256 ** (k + 1) - 1)).alias("key")).agg(F.sum("n").alias("n"))))
@@ -217,10 +235,10 @@ def _scored(shared, order):
         name, orders, keys, logs = shared.value
         if name not in _tries:
             _tries.clear()
-            _tries[name] = (Trie(orders), X.Table(keys), logs)
+            _tries[name] = (Trie(orders if len(orders) > 1 or not order else lower_orders(*orders[0], order)), X.Table(keys), logs)
         trie, frequent, logs = _tries[name]
         for b in batches:
-            for s, e in X.slices(b.column(2)):
+            for s, e in X.slices(b.column(2), 1 << 19):
                 sub = b.slice(s, e - s)
                 t = X.flat(sub.column(2))
                 w = X.split(t, X.NOT_SPACE)

@@ -189,7 +189,7 @@ class Table:
     """An open-addressing map from 64-bit keys to row numbers, looked up by arrays."""
 
     def __init__(self, keys: np.ndarray):
-        self.bits = max(4, int(len(keys) * 3).bit_length())
+        self.bits = max(4, int(len(keys) * 3 // 2).bit_length())
         self.keys = np.zeros(1 << self.bits, np.uint64)
         self.rows = np.full(1 << self.bits, -1, np.int32)
         left, probe = np.arange(len(keys)), 0
