@@ -27,7 +27,7 @@ FIT_ROWS = 8192
 TREES = 128
 TREE_ROWS = 256
 #: Least share of the good labelled rows that a threshold must keep.
-KEEP_GOOD = 0.995
+KEEP_GOOD = 0.99
 BINS = 2000
 MIN_WORDS = 50
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -101,7 +101,7 @@ def features(s) -> np.ndarray:
         [
             over(get("n_symbols") / words, 0.1),
             over(get("dup_chars") / chars, 0.2),
-            over(get("n_repeat_words") / words, 0.2),
+            over(get("n_repeat_words") / words, 0.4),
             over(get("n_digits") / inside, 0.2),
             np.log1p(np.maximum(mean - 10, 0) + np.maximum(3 - mean, 0)),
         ],
