@@ -3,14 +3,16 @@
 A text is lower-cased (A-Z) and read as words between white space, each followed by a
 space, then one end byte: the code length of that byte string is the score. Contexts of
 ORDER bytes down to none form a trie of counts, gathered from every training text. A byte not
-yet seen in a context escapes to the next shorter one (escape method C), where bytes already
-seen in the longer context are excluded. Counts of shorter contexts are sums over longer
-ones, so the bytes seen in a context are also seen in its suffix and the excluded mass is one
+yet seen in a context escapes to the next shorter one (escape method D: half a count of each
+byte seen goes to the escape), where bytes already seen in the longer context are excluded.
+A shorter context counts each byte once for each longer context that saw it (update exclusion),
+so the bytes seen in a context are also seen in its suffix and the excluded mass is one
 number for each context; scoring is then a few array lookups for each byte.
 
-Trie nodes reach the executors as arrays of at most MAX_NODES grams an order. Where a
-corpus has more, only grams seen `least` times are kept, `least` being the smallest
-power of two that fits; all counts are exact before that cut.
+Trie nodes reach the executors as arrays. Where a corpus has more than MAX_NODES grams of the
+longest order, each order keeps the grams counted `least` times, `least` being the smallest
+power of two that fits MAX_NODES, and the suffixes of longer grams that are kept: at most
+(ORDER + 1) * MAX_NODES an order. All counts are exact before that cut.
 
 The base is a unigram model over words with add-half smoothing. Its FREQUENT most frequent
 words are looked up in a broadcast of that fixed size; other words are joined.
@@ -32,7 +34,7 @@ from . import textops as X
 from .util import cut, held_out
 
 ORDER = 5
-MAX_NODES = 1 << 21
+MAX_NODES = 1 << 21  # of the longest order
 FREQUENT = 1 << 18
 CHUNK = 1 << 21
 HELD = 1 << 21
@@ -150,13 +152,13 @@ class Trie:
             else:
                 # Below order 0 all other bytes are alike.
                 rest, left = np.zeros(len(start)), 256 - distinct
-            room = rest + (left if k else 0)
+            room = 2 * rest
             with np.errstate(divide="ignore"):
-                self.first_escape.append(np.log10(distinct / (total + distinct)).astype(np.float32))
+                self.first_escape.append(np.log10(distinct / (2 * total)).astype(np.float32))
                 # Escaping from this context's suffix after escaping from this one; certain if nothing is left there.
                 self.next_escape.append(np.where(left > 0, np.log10(left / np.maximum(room, 1)), 0.0) if k else np.zeros(len(start)))
                 self.next_total.append(np.log10(np.maximum(room if k else left, 1)))
-                self.value.append((np.log10(n).astype(np.float32), np.repeat(np.log10(total + distinct), distinct.astype(int)).astype(np.float32) if len(g) else np.zeros(0, np.float32)))
+                self.value.append((np.log10(2 * n - 1).astype(np.float32), np.repeat(np.log10(2 * total), distinct.astype(int)).astype(np.float32) if len(g) else np.zeros(0, np.float32)))
             self.grams.append(X.Table(g)), self.contexts.append(X.Table(contexts))
             below = {"grams": g, "n": n, "contexts": contexts, "total": total, "distinct": distinct}
 
@@ -190,14 +192,13 @@ class Trie:
 
 
 def lower_orders(keys: np.ndarray, n: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """All orders from the counts of the longest."""
+    """All orders from the longest: a shorter gram counts the longer ones that end in it."""
     out = [(keys, n)]
     for k in range(order - 1, -1, -1):
-        keys = keys & np.uint64(256 ** (k + 1) - 1)
-        o = np.argsort(keys, kind="stable")
-        keys, n = keys[o], n[o]
+        keys = np.sort(keys & np.uint64(256 ** (k + 1) - 1))
         at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, int)
-        keys, n = keys[at], np.add.reduceat(n, at) if len(at) else n
+        n = np.diff(np.append(at, len(keys)))
+        keys = keys[at]
         out.append((keys, n))
     return out[::-1]
 
@@ -210,19 +211,29 @@ def _collect(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def gather_orders(counts: DataFrame, order: int, most: int = MAX_NODES) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Trie counts: of the longest order alone where they fit, the others being their sums; else of every order, with one least count that fits all."""
-    top = counts.where("kind = 0").select("key", "n")
-    if top.limit(most + 1).count() <= most:
-        return [_collect(top)]
-    levels = [top]
-    for k in range(order - 1, -1, -1):
-        levels.append(cut(levels[-1].groupBy(F.col("key").bitwiseAND(F.lit(256 ** (k + 1) - 1)).alias("key")).agg(F.sum("n").alias("n"))))
-    least = 1
-    for level in levels:
+    """Trie counts: of the longest order alone where they fit, the others following from them; else of every order."""
+    level = counts.where("kind = 0").select("key", "n")
+    if level.limit(most + 1).count() <= most:
+        return [_collect(level)]
+    out, longer = [], None
+    for k in range(order, -1, -1):
+        if longer is not None:
+            level = cut(level.groupBy(_suffix(k)).agg(F.count("*").alias("n")))
         sizes = {int(r["b"]): r["c"] for r in level.groupBy(F.floor(F.log2("n")).alias("b")).agg(F.count("*").alias("c")).collect()}
+        least = 1
         while sum(c for b, c in sizes.items() if 2**b >= least) > most:
             least *= 2
-    return [_collect(level.where(F.col("n") >= least)) for level in levels[::-1]]
+        kept = level.where(F.col("n") >= least)
+        if longer is not None and least > 1:
+            ends = longer.select(_suffix(k)).distinct()
+            kept = kept.unionByName(level.where(F.col("n") < least).join(ends, "key", "left_semi"))
+        longer = cut(kept)
+        out.append(_collect(longer))
+    return out[::-1]
+
+
+def _suffix(k: int):
+    return F.col("key").bitwiseAND(F.lit(256 ** (k + 1) - 1)).alias("key")
 
 
 _tries: dict[str, tuple] = {}
