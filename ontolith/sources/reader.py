@@ -91,9 +91,11 @@ fields array<struct<parent_id:binary,field_ordinal:int,item_index:int,child_id:b
 occurrences array<struct<root_id:binary,node_id:binary,tag:int,entity_kind:string,iri:string,path:string,role:string,in_annotation:boolean,depth:int>>"""
 
 
-def _row(path: str, data: bytes, strict: bool) -> dict:
+def _row(path: str, data: bytes, strict: bool, most: int | None = None) -> dict:
     sha = hashlib.sha256(data).digest()
     row = {"path": path, "source_sha256": sha, "byte_length": len(data), "document_key": sha.hex(), "imports": [], "roots": [], "nodes": [], "fields": [], "occurrences": []}
+    if most is not None and len(data) > most:
+        return row | {"error": f"LimitExceeded: {len(data)} bytes, at most {most}"}
     try:
         row["format"] = detect(data, name=path)
         doc = parse(data, row["format"], path, strict)
@@ -164,11 +166,28 @@ class Snapshot:
         axioms = self.root.where("tag = 62").select("root_id").distinct()
         return self.occurrence.where("role = 'operand' and entity_kind = 'class' and depth = 1").join(axioms, "root_id", "left_semi").select("root_id", F.col("iri").alias("member")).distinct()
 
+    def identity(self) -> DataFrame:
+        """(document_key, ontology_iri, version_iri, ordinal): which documents there are, equal sources numbered."""
+        from ..operators.algebra import ordinals
+
+        return ordinals(self.document.where("error is null"), "ontology_iri", "source_sha256", "document_key").select("document_key", "ontology_iri", "version_iri", "ordinal")
+
+    def columns(self) -> DataFrame:
+        """Nodes with dense ids in canonical order and their children's ids: (id, tag, children) for columnar export."""
+        from ..operators.views import dense_ids
+
+        ids = settle(dense_ids(self.node.select("node_id", "tag", "canonical"), F.col("canonical")).select("node_id", "tag", "id"))
+        at = lambda c: ids.select(F.col("node_id").alias(c), F.col("id").alias(f"{c}_no"))
+        links = self.node_field.join(at("parent_id"), "parent_id").join(at("child_id"), "child_id")
+        order = F.struct("field_ordinal", F.coalesce("item_index", F.lit(-1)).alias("item"), "child_id_no")
+        kids = links.groupBy(F.col("parent_id_no").alias("id")).agg(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["child_id_no"]).alias("children"))
+        return ids.join(kids, "id", "left").select("id", "tag", F.coalesce("children", F.array().cast("array<bigint>")).alias("children"))
+
     def save(self, path: str) -> None:
         self.parsed.write.parquet(path)
 
 
-def read(spark: SparkSession, path: str, strict: bool = True) -> Snapshot:
+def read(spark: SparkSession, path: str, strict: bool = True, max_bytes: int | None = None) -> Snapshot:
     """All files under a path; a file that can't be parsed keeps a row with its error. Equal bytes are parsed once."""
     if re.match(r"(https?|ftp)://", path):
         raise SyntaxProblem("network addresses are not read")
@@ -179,7 +198,7 @@ def read(spark: SparkSession, path: str, strict: bool = True) -> Snapshot:
 
     def run(batches):
         for b in batches:
-            rows = [_row(p, c, strict) for p, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            rows = [_row(p, c, strict, max_bytes) for p, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_pylist([{n: r.get(n) for n in kind.names} for r in rows], schema=kind)
 
     return Snapshot(settle(unique.select("path", "content").mapInArrow(run, _PARSED)))
