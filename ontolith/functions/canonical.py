@@ -16,7 +16,7 @@ from ..schema import tag
 DOMAIN = b"ontolith:structural-value:v1\x00\x02"
 
 # Kind bytes of field payloads.
-ABSENT, NODE, TEXT, ENUM, BYTES, INTEGER, SET, SEQUENCE = range(8)
+ABSENT, NODE, TEXT, BYTES, INTEGER, ENUM, SET, SEQUENCE = range(8)
 
 
 def let(value: Column, fn) -> Column:

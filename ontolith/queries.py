@@ -492,7 +492,7 @@ def canonical_order(t):
     return views.dense_ids(classes, C.iri_order(F.col("iri"))).select("iri", F.col("id").cast("long").alias("id"))
 
 
-@query("SELECT iri, sha256(unhex('6F6E746F6C6974683A7374727563747572616C2D76616C75653A763100020203') || unhex('05') || encode('class') || unhex('01' || lpad(hex(strlen(iri) + 3), 2, '0') || '0102' || lpad(hex(strlen(iri)), 2, '0')) || encode(iri)) AS digest FROM (SELECT DISTINCT iri FROM occurrence WHERE entity_kind = 'class') x")
+@query("SELECT iri, sha256(unhex('6F6E746F6C6974683A7374727563747572616C2D76616C75653A763100020205') || unhex('05') || encode('class') || unhex('01' || lpad(hex(strlen(iri) + 3), 2, '0') || '0102' || lpad(hex(strlen(iri)), 2, '0')) || encode(iri)) AS digest FROM (SELECT DISTINCT iri FROM occurrence WHERE entity_kind = 'class') x")
 def structural_digests(t):
     return t.occurrence.where("entity_kind = 'class'").select("iri").distinct().select("iri", C.digest(C.entity(F.lit("class"), F.col("iri"))).alias("digest"))
 
