@@ -14,8 +14,8 @@ longest order, each order keeps the grams counted `least` times, `least` being t
 power of two that fits MAX_NODES, and the suffixes of longer grams that are kept: at most
 (ORDER + 1) * MAX_NODES an order. All counts are exact before that cut.
 
-The base is a unigram model over words with add-half smoothing. Its FREQUENT most frequent
-words are looked up in a broadcast of that fixed size; other words are joined.
+The base is a unigram model over words with add-half smoothing. Its most frequent
+words, FREQUENT at most, are looked up in a broadcast; other words are joined.
 
 Words and grams are known by 64-bit numbers. Defined cases: null and empty texts are the end
 token alone; null ids are training rows; repeated rows are each counted and scored; an empty
@@ -219,10 +219,7 @@ def gather_orders(counts: DataFrame, order: int, most: int = MAX_NODES) -> list[
     for k in range(order, -1, -1):
         if longer is not None:
             level = cut(level.groupBy(_suffix(k)).agg(F.count("*").alias("n")))
-        sizes = {int(r["b"]): r["c"] for r in level.groupBy(F.floor(F.log2("n")).alias("b")).agg(F.count("*").alias("c")).collect()}
-        least = 1
-        while sum(c for b, c in sizes.items() if 2**b >= least) > most:
-            least *= 2
+        least = _least(level, most)
         kept = level.where(F.col("n") >= least)
         if longer is not None and least > 1:
             ends = longer.select(_suffix(k)).distinct()
@@ -232,6 +229,15 @@ def gather_orders(counts: DataFrame, order: int, most: int = MAX_NODES) -> list[
     return out[::-1]
 
 
+def _least(counted: DataFrame, most: int) -> int:
+    """The smallest power of two that at most `most` counts reach."""
+    sizes = {int(r["b"]): r["c"] for r in counted.groupBy(F.floor(F.log2("n")).alias("b")).agg(F.count("*").alias("c")).collect()}
+    least = 1
+    while sum(c for b, c in sizes.items() if 2**b >= least) > most:
+        least *= 2
+    return least
+
+
 def _suffix(k: int):
     return F.col("key").bitwiseAND(F.lit(256 ** (k + 1) - 1)).alias("key")
 
@@ -276,8 +282,7 @@ def score(docs: DataFrame, order: int = ORDER, folds: int = 5, most: int = MAX_N
     words = counts.where("kind = 1").select("key", "n")
     whole = words.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     total, distinct = int(whole["n"] or 0), int(whole["v"])
-    top = words.orderBy(F.desc("n"), "key").limit(frequent)
-    keys, n = _collect(top)
+    keys, n = _collect(words.where(F.col("n") >= _least(words, frequent)))
     end_key = int(_END_KEY.view(np.int64)[0])
     ends = words.where(F.col("key") == end_key).agg(F.sum("n")).first()[0] or 0
     below = np.log10(total + 0.5 * (distinct + 1))
