@@ -83,6 +83,39 @@ FROM parts LEFT JOIN joined ON parts.r = joined.r
 """
 
 
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"CASE WHEN text IS NULL THEN [] ELSE regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') END"
+
+OP4_SQL = f"""
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id, text) AS r, doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+bp AS (SELECT item_id, w, unnest(range(1, greatest(len(w) - 7, 1) + 1)) AS p FROM b WHERE len(w) > 0),
+bw AS (SELECT DISTINCT item_id, array_to_string(list_slice(w, p, p + 7), ' ') AS g, least(len(w), 8) AS n FROM bp),
+sizes AS (SELECT DISTINCT n FROM bw),
+dp AS (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, sizes WHERE len(w) >= n),
+dw AS (SELECT r, n, p, array_to_string(list_slice(w, p, p + n - 1), ' ') AS g FROM dp),
+hit AS (SELECT DISTINCT dw.r, dw.p, dw.n, bw.item_id FROM dw JOIN bw ON dw.g = bw.g),
+places AS (SELECT r, unnest(range(p, p + n)) AS q FROM hit),
+cover AS (SELECT r, count(DISTINCT q) AS n_hit FROM places GROUP BY r),
+names AS (SELECT r, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT r, cast(item_id AS varchar) AS i FROM hit) x GROUP BY r)
+SELECT doc_id, len(w)::bigint AS n_words, coalesce(n_hit, 0)::bigint AS n_hit, coalesce(n_items, 0)::bigint AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
+FROM d LEFT JOIN cover ON d.r = cover.r LEFT JOIN names ON d.r = names.r
+"""
+
+_ESCAPED = r"replace(replace({0}, '\', '\\'), '<|', '<\|')"
+
+OP8_SQL = f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations
+           UNION ALL SELECT -1, 0, 'user', '{ADDED}' UNION ALL SELECT -1, 1, 'assistant', '{ADDED}')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || x || chr(10), '' ORDER BY turn, r, x)) AS turns_sha256,
+       coalesce(sum(length(x)) FILTER (WHERE r = 'assistant'), 0)::bigint AS loss_chars,
+       sha256(coalesce(string_agg(x, '' ORDER BY turn, r, x) FILTER (WHERE r = 'assistant'), '')) AS loss_sha256,
+       sum(24 + length(replace({_ESCAPED.format("r")}, chr(10), '..')) + length({_ESCAPED.format("x")}))::bigint AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
+
 def queries():
     return {
         "op1_ngram_join": op1_ngram_join,
@@ -99,4 +132,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op10_line_dedup": OP10_SQL}
+    return {"op4_decontamination": OP4_SQL, "op8_chat_formatting": OP8_SQL, "op10_line_dedup": OP10_SQL}
