@@ -9,10 +9,12 @@ A shorter context counts each byte once for each longer context that saw it (upd
 so the bytes seen in a context are also seen in its suffix and the excluded mass is one
 number for each context; scoring is then a few array lookups for each byte.
 
-Trie nodes reach the executors as arrays. Where a corpus has more than MAX_NODES grams of the
-longest order, each order keeps the grams counted `least` times, `least` being the smallest
-power of two that fits MAX_NODES, and the suffixes of longer grams that are kept: at most
-(ORDER + 1) * MAX_NODES an order. All counts are exact before that cut.
+No count is dropped at any size and no table of long grams meets on the driver or in one task.
+Documents are dealt into chunks of CHUNK_BYTES; each chunk names its distinct grams of the
+longest order. These are dealt by the last SPLIT bytes of their contexts, so a part holds whole
+contexts of orders from SPLIT on; shorter ones, by the byte alphabet 2^24 grams at most and far
+fewer in text, are counted over the whole corpus and broadcast. A chunk gets the probabilities
+of its own grams back, so a task holds one chunk's texts and grams, or one part's grams.
 
 The base is a unigram model over words with add-half smoothing. Its most frequent
 words, FREQUENT at most, are looked up in a broadcast; other words are joined.
@@ -27,16 +29,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as X
-from .util import cut, held_out
+from .util import cut, held_out, release
 
-ORDER = 5
-MAX_NODES = 1 << 21  # of the longest order
+ORDER = 6
 FREQUENT = 1 << 18
 CHUNK = 1 << 21
+CHUNK_BYTES = 1 << 24
+SPLIT = 3
 HELD = 1 << 21
 END = np.uint8(0x0A)
 _END_KEY = np.array([0x1B873593CC9E2D51], np.uint64)
@@ -210,8 +214,8 @@ def _collect(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return k[o], n[o]
 
 
-def gather_orders(counts: DataFrame, order: int, most: int = MAX_NODES) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Trie counts: of the longest order alone where they fit, the others following from them; else of every order."""
+def gather_orders(counts: DataFrame, order: int, most: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Counts for a Trie in one process, of at most `most` grams an order; score() keeps all and doesn't use it."""
     level = counts.where("kind = 0").select("key", "n")
     if level.limit(most + 1).count() <= most:
         return [_collect(level)]
@@ -242,25 +246,126 @@ def _suffix(k: int):
     return F.col("key").bitwiseAND(F.lit(256 ** (k + 1) - 1)).alias("key")
 
 
-_tries: dict[str, tuple] = {}
+def _dealt(batches):
+    """Rows (part, doc_id, held_out, text) with a row number and the chunk they belong to."""
+    row, chunk, size = 0, 0, 0
+    for b in batches:
+        for s, e in X.slices(b.column(3), 1 << 20):
+            sub = b.slice(s, e - s)
+            part = sub.column(0).to_numpy(zero_copy_only=False).astype(np.int64)[0] << 33
+            size += sub.column(3).nbytes + 64 * (e - s)
+            yield pa.RecordBatch.from_arrays([pa.array(part + row + np.arange(e - s)), pa.array(np.full(e - s, part + chunk)), *sub.columns[1:]], names=["row", "chunk", "doc_id", "held_out", "text"])
+            row += e - s
+            if size >= CHUNK_BYTES:
+                chunk, size = chunk + 1, 0
 
 
-def _scored(shared, order):
-    """Rows (rid columns, text): n_tokens, bytes of code, frequent words' sum, other words."""
+def _asked(order):
+    """Distinct grams of each chunk with their training counts (kind 0), training words (kind 1)."""
 
     def run(batches):
-        name, orders, keys, logs = shared.value
-        if name not in _tries:
-            _tries.clear()
-            _tries[name] = (Trie(orders if len(orders) > 1 or not order else lower_orders(*orders[0], order)), X.Table(keys), logs)
-        trie, frequent, logs = _tries[name]
+        fresh, held, now = {0: [], 1: [], 2: []}, {}, None
+
+        def fold(kind):
+            if fresh[kind]:
+                part = _tally(np.concatenate(fresh[kind]))
+                fresh[kind] = []
+                held[kind] = _merge(held[kind], part) if kind in held else part
+
+        def flush():
+            for kind in (0, 1, 2):
+                fold(kind)
+            none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            trained, words, other = (held.pop(kind, none) for kind in (0, 1, 2))
+            # Grams of held-out rows are asked for, but not counted.
+            both = [x for x in (trained, (other[0], np.zeros(len(other[0]), np.int64))) if len(x[0])]
+            for kind, (keys, n) in enumerate((_merge(*both) if len(both) > 1 else both[0] if both else none, words)):
+                for a in range(0, len(keys), 1 << 16):
+                    k = keys[a : a + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(np.full(len(k), now, np.int64)), pa.array(k.view(np.int64)), pa.array(n[a : a + (1 << 16)].astype(np.int64))], names=["kind", "chunk", "key", "n"])
+
         for b in batches:
-            for s, e in X.slices(b.column(2), 1 << 19):
+            chunks = b.column(0).to_numpy(zero_copy_only=False)
+            edges = np.flatnonzero(np.diff(chunks)) + 1
+            for begin, stop in zip([0, *edges], [*edges, len(chunks)], strict=True):
+                if begin == stop:
+                    continue
+                if now is not None and now != chunks[begin]:
+                    yield from flush()
+                now = chunks[begin]
+                part = b.slice(begin, stop - begin)
+                for s, e in X.slices(part.column(2), 1 << 20):
+                    sub = part.slice(s, e - s)
+                    for kind, rows in ((0, sub.filter(pc.invert(sub.column(1)))), (2, sub.filter(sub.column(1)))):
+                        if not rows.num_rows:
+                            continue
+                        t = X.flat(rows.column(2))
+                        w = X.split(t, X.NOT_SPACE)
+                        data, bounds, _ = streams(t, w, order)
+                        fresh[kind].append(grams(data, bounds, order))
+                        if not kind:
+                            fresh[1] += [X.word_hashes(t, w, lower=True), np.repeat(_END_KEY, len(t))]
+                    for kind in (0, 1, 2):
+                        if sum(map(len, fresh[kind])) >= CHUNK:
+                            fold(kind)
+        if now is not None:
+            yield from flush()
+
+    return run
+
+
+def _low_orders(grams: DataFrame, order: int, split: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Orders below `split` of the whole corpus."""
+    top = grams.where("n > 0")
+    if not split:
+        return []
+    longer = top.select(_suffix(split) if split < order else F.col("key")).distinct()
+    return lower_orders(*_collect(longer.groupBy(_suffix(split - 1)).agg(F.count("*").alias("n"))), split - 1)
+
+
+def _solved(shared, order, split):
+    """(key, p) of a partition that holds all grams whose contexts end in the same `split` bytes."""
+
+    def run(batches):
+        got = [(b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()) for b in batches]
+        if not got:
+            return
+        keys, n = (np.concatenate(x) for x in zip(*got, strict=True))
+        o = np.argsort(keys)
+        keys, n = keys[o], n[o]
+        seen = n > 0
+        trie = Trie(shared.value + lower_orders(keys[seen], n[seen], order)[split:])
+        for a in range(0, len(keys), 1 << 16):
+            k = keys[a : a + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(trie.score(k))], names=["key", "p"])
+
+    return run
+
+
+def _probabilities(grams: DataFrame, order: int, split: int = SPLIT) -> DataFrame:
+    """(key, p): log10 of the last byte of each gram after the others; grams are (key, training count), each once."""
+    spark, split = grams.sparkSession, min(split, order)
+    low = spark.sparkContext.broadcast(_low_orders(grams, order, split))
+    ends = F.shiftrightunsigned("key", 8).bitwiseAND(F.lit(256**split - 1))
+    # As many parts as asked for: a part is held whole, so small ones aren't put together.
+    return grams.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), ends).mapInArrow(_solved(low, order, split), "key long, p double")
+
+
+def _scored(shared, order):
+    """A chunk's rows and the probabilities of its grams: code, frequent words' sum, other words."""
+
+    def run(rows: pa.Table, own: pa.Table) -> pa.Table:
+        keys, logs = shared.value
+        frequent = X.Table(keys)
+        known_grams, p = X.Table(own.column("key").to_numpy().view(np.uint64)), own.column("p").to_numpy()
+        out = []
+        for b in rows.select(["row", "doc_id", "held_out", "text"]).combine_chunks().to_batches():
+            for s, e in X.slices(b.column(3), 1 << 19):
                 sub = b.slice(s, e - s)
-                t = X.flat(sub.column(2))
+                t = X.flat(sub.column(3))
                 w = X.split(t, X.NOT_SPACE)
                 data, bounds, length = streams(t, w, order)
-                code = trie.score(grams(data, bounds, order))
+                code = p[known_grams.find(grams(data, bounds, order))]
                 score = np.add.reduceat(code, np.cumsum(length) - length)
                 h = X.word_hashes(t, w, lower=True)
                 row, doc = frequent.find(h), w.doc
@@ -269,27 +374,38 @@ def _scored(shared, order):
                 rare = row < 0
                 ends = np.cumsum(np.bincount(doc, rare, len(t)).astype(np.int32))
                 rest = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(h[rare].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([sub.column(0), sub.column(1), pa.array(np.diff(w.first) + 1), pa.array(score), pa.array(easy), pa.array(known), rest], names=["doc_id", "held_out", "n_tokens", "score", "easy", "easy_known", "rest"])
+                out.append(pa.RecordBatch.from_arrays([*sub.columns[:3], pa.array(np.diff(w.first) + 1), pa.array(score), pa.array(easy), pa.array(known), rest], schema=_SCORED))
+        return pa.Table.from_batches(out, _SCORED)
 
     return run
 
 
-def score(docs: DataFrame, order: int = ORDER, folds: int = 5, most: int = MAX_NODES, frequent: int = FREQUENT) -> DataFrame:
+_SCORED = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("score", pa.float64()), ("easy", pa.float64()), ("easy_known", pa.int64()), ("rest", pa.list_(pa.int64()))])
+
+
+def score(docs: DataFrame, order: int = ORDER, folds: int = 5, frequent: int = FREQUENT) -> DataFrame:
     """One row per document; training rows are those that aren't held out (crc32 of the id modulo folds isn't 1)."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out("doc_id", folds).alias("held_out"), F.col("text").cast("string").alias("text"))
-    counts = cut(rows.where("not held_out").select("text").mapInArrow(_counts(order), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
-    words = counts.where("kind = 1").select("key", "n")
+    rows = docs.select(F.spark_partition_id().alias("part"), F.col("doc_id").cast("long").alias("doc_id"), held_out("doc_id", folds).alias("held_out"), F.col("text").cast("string").alias("text"))
+    # Written once, so row numbers and chunks are the same in each later read.
+    rows = cut(rows.mapInArrow(_dealt, "row long, chunk long, doc_id long, held_out boolean, text string"))
+    asked = cut(rows.select("chunk", "held_out", "text").mapInArrow(_asked(order), "kind int, chunk long, key long, n long"))
+    words = cut(asked.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")))
     whole = words.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     total, distinct = int(whole["n"] or 0), int(whole["v"])
     keys, n = _collect(words.where(F.col("n") >= _least(words, frequent)))
     end_key = int(_END_KEY.view(np.int64)[0])
     ends = words.where(F.col("key") == end_key).agg(F.sum("n")).first()[0] or 0
     below = np.log10(total + 0.5 * (distinct + 1))
-    import uuid
-
-    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, gather_orders(counts, order, most), keys, np.log10(n + 0.5)))
-    part = cut(rows.mapInArrow(_scored(shared, order), "doc_id long, held_out boolean, n_tokens long, score double, easy double, easy_known long, rest array<long>").withColumn("row", F.monotonically_increasing_id()))
+    asked = asked.where("kind = 0").select("chunk", "key", "n")
+    distinct_grams = cut(asked.groupBy("key").agg(F.sum("n").alias("n")))
+    known = cut(_probabilities(distinct_grams, order))
+    release(distinct_grams)
+    shared = spark.sparkContext.broadcast((keys, np.log10(n + 0.5)))
+    own = asked.select("chunk", "key").join(known, "key")
+    scored = rows.groupBy("chunk").cogroup(own.groupBy("chunk")).applyInArrow(_scored(shared, order), "row long, doc_id long, held_out boolean, n_tokens long, score double, easy double, easy_known long, rest array<long>")
+    part = cut(scored)
+    release(rows, known)
     # Rare words are spread over many keys; frequent ones were settled above and never move.
     rest = part.select("row", F.explode("rest").alias("key")).join(words.withColumnRenamed("n", "c"), "key", "left").groupBy("row").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.5))).alias("hard"), F.count("c").alias("hard_known"))
     zero = F.lit(0)

@@ -91,6 +91,20 @@ def test_pruned_trie_still_adds_up(spark):
             assert np.isclose((10.0 ** trie.score(code)).sum(), 1)
 
 
+def test_every_gram_counts_in_small_chunks(spark, monkeypatch):
+    """Chunks of one slice and grams seen once: scores are those of all counts."""
+    monkeypatch.setattr(M, "CHUNK_BYTES", 1)
+    rng = random.Random(8)
+    rows = [(i, " ".join("".join(rng.choice("abcdeéx") for _ in range(5)) for _ in range(30))) for i in range(60)]
+    model = Plain([t for i, t in rows if not held(i, 5)], M.ORDER)
+    # More grams than a model of a fixed size could be asked to hold.
+    monkeypatch.setattr(M, "MAX_NODES", 64, raising=False)
+    defaults = M.score.__defaults__
+    monkeypatch.setattr(M.score, "__defaults__", tuple(64 if d == 1 << 21 else d for d in defaults))
+    got = {r["doc_id"]: r["score"] for r in M.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert len(got) == len(rows) and all(np.isclose(got[i], model.score(t)) for i, t in rows)
+
+
 def test_beats_unigrams(spark, sf):
     p = M.score(spark.read.parquet(f"{sf}/../sf0.1/documents.parquet")).where("held_out").toPandas()
     assert p["score"].sum() > p["base_score"].sum()
