@@ -144,6 +144,23 @@ def test_mixing_both_ways(spark, sf):
     assert (a["__drawn"] <= (a["__p"] > 0)).all() and 0 < a["__drawn"].sum() < len(a)
 
 
+def test_drawn_shares_meet_targets(spark):
+    """Cells that would pass probability 1 give the rest to cells with room; a target out of reach is reported."""
+    cells = [("a", "en", "x", 700), ("a", "de", "x", 60), ("b", "en", "x", 60), ("b", "de", "x", 180), ("b", "de", "y", 4)]
+    rows = [(i, " ".join(["w"] * n), s, g, t) for i, (s, g, t, n) in enumerate(cells)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, topic string")
+    targets = {"source": {"a": 0.55, "b": 0.45}, "lang": {"en": 0.55, "de": 0.45}, "topic": {"x": 0.9, "y": 0.1}}
+    for n in (B.DRIVER_CELLS, 3):
+        out = B.assign(docs, targets, driver_cells=n)
+        p = out.select("source", "lang", "__topic", "__tokens", "__p").toPandas()
+        drawn = p["__p"] * p["__tokens"]
+        assert p["__p"].between(0, 1).all() and np.isclose(drawn.sum(), 502, rtol=1e-4)
+        share = {(r["attribute"], r["value"]): (r["target"], r["expected"]) for r in B.report(out, targets).collect()}
+        for d, v in (("source", "a"), ("source", "b"), ("lang", "en"), ("lang", "de")):
+            assert np.isclose(share[d, v][1], targets[d][v], atol=1e-4) and np.isclose(drawn[p[d] == v].sum() / 502, targets[d][v], atol=1e-4)
+        assert np.isclose(share["topic", "y"][0], 0.1) and np.isclose(share["topic", "y"][1], 4 / 502, atol=1e-4)
+
+
 def test_mixing_odd_rows(odd, odd_rows, none):
     got = B.assign(odd).collect()
     assert len(got) == len(odd_rows)
