@@ -10,11 +10,14 @@ so the bytes seen in a context are also seen in its suffix and the excluded mass
 number for each context; scoring is then a few array lookups for each byte.
 
 No count is dropped at any size and no table of long grams meets on the driver or in one task.
-Documents are dealt into chunks of CHUNK_BYTES; each chunk names its distinct grams of the
-longest order. These are dealt by the last SPLIT bytes of their contexts, so a part holds whole
-contexts of orders from SPLIT on; shorter ones, by the byte alphabet 2^24 grams at most and far
-fewer in text, are counted over the whole corpus and broadcast. A chunk gets the probabilities
-of its own grams back, so a task holds one chunk's texts and grams, or one part's grams.
+Documents are packed into chunks of CHUNK_BYTES of text, one row each. A chunk names its distinct
+grams of the longest order with their training counts, dealt into parts by the last SPLIT bytes
+of their contexts and sent as one packed blob of sorted differences a part (never more rows than
+grams). A part, about CHUNK_BYTES of text's worth of grams, so holds whole contexts of orders from
+SPLIT on, adds up the counts of all chunks and sends each chunk its own grams back with their
+probabilities. Orders below SPLIT, by the byte alphabet 2^24 grams at most and far fewer in text,
+are counted over the whole corpus and broadcast. A task holds one chunk, or one part. A part can't be smaller
+than the commonest context of SPLIT bytes; a larger SPLIT deals finer for a larger broadcast.
 
 The base is a unigram model over words with add-half smoothing. Its most frequent
 words, FREQUENT at most, are looked up in a broadcast; other words are joined.
@@ -95,43 +98,6 @@ def _merge(a, b):
     return keys[at], np.add.reduceat(n, at)
 
 
-def _counts(order):
-    """Tallies of a task, handed on whenever HELD keys are passed, so memory stays bounded."""
-
-    def run(batches):
-        fresh, held = {0: [], 1: []}, {}
-
-        def fold(kind):
-            if fresh[kind]:
-                part = _tally(np.concatenate(fresh[kind]))
-                fresh[kind] = []
-                held[kind] = _merge(held[kind], part) if kind in held else part
-
-        def flush(kind):
-            keys, n = held.pop(kind, (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
-            for a in range(0, len(keys), 1 << 16):
-                k = keys[a : a + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k.view(np.int64)), pa.array(n[a : a + (1 << 16)].astype(np.int64))], names=["kind", "key", "n"])
-
-        for b in batches:
-            for s, e in X.slices(b.column(0), 1 << 20):
-                t = X.flat(b.column(0).slice(s, e - s))
-                w = X.split(t, X.NOT_SPACE)
-                data, bounds, _ = streams(t, w, order)
-                fresh[0].append(grams(data, bounds, order))
-                fresh[1] += [X.word_hashes(t, w, lower=True), np.repeat(_END_KEY, e - s)]
-                for kind in (0, 1):
-                    if sum(map(len, fresh[kind])) >= CHUNK:
-                        fold(kind)
-                        if len(held[kind][0]) >= HELD:
-                            yield from flush(kind)
-        for kind in (0, 1):
-            fold(kind)
-            yield from flush(kind)
-
-    return run
-
-
 class Trie:
     """Counts by order with what scoring needs of each gram and context."""
 
@@ -177,7 +143,10 @@ class Trie:
             count, total = self.value[k]
             r, where, up = row[hit], left[hit], longer[hit]
             # The first context there is has its own total; later ones lack what was excluded.
-            out[where] += count[r] - np.where(up < 0, total[r], self.next_total[k + 1][np.maximum(up, 0)] if k < self.order else 0.0)
+            whole, later = total[r], up >= 0
+            if k < self.order:
+                whole[later] = self.next_total[k + 1][up[later]]
+            out[where] += count[r] - whole
             miss = row < 0
             left, up, g = left[miss], longer[miss], g[miss]
             if not len(left):
@@ -214,25 +183,6 @@ def _collect(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return k[o], n[o]
 
 
-def gather_orders(counts: DataFrame, order: int, most: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Counts for a Trie in one process, of at most `most` grams an order; score() keeps all and doesn't use it."""
-    level = counts.where("kind = 0").select("key", "n")
-    if level.limit(most + 1).count() <= most:
-        return [_collect(level)]
-    out, longer = [], None
-    for k in range(order, -1, -1):
-        if longer is not None:
-            level = cut(level.groupBy(_suffix(k)).agg(F.count("*").alias("n")))
-        least = _least(level, most)
-        kept = level.where(F.col("n") >= least)
-        if longer is not None and least > 1:
-            ends = longer.select(_suffix(k)).distinct()
-            kept = kept.unionByName(level.where(F.col("n") < least).join(ends, "key", "left_semi"))
-        longer = cut(kept)
-        out.append(_collect(longer))
-    return out[::-1]
-
-
 def _least(counted: DataFrame, most: int) -> int:
     """The smallest power of two that at most `most` counts reach."""
     sizes = {int(r["b"]): r["c"] for r in counted.groupBy(F.floor(F.log2("n")).alias("b")).agg(F.count("*").alias("c")).collect()}
@@ -242,126 +192,190 @@ def _least(counted: DataFrame, most: int) -> int:
     return least
 
 
-def _suffix(k: int):
-    return F.col("key").bitwiseAND(F.lit(256 ** (k + 1) - 1)).alias("key")
+def pack(x: np.ndarray) -> bytes:
+    """Numbers as compressed byte planes, after their size."""
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
+
+
+def unpack(blob: bytes, kind) -> np.ndarray:
+    size = int.from_bytes(blob[:8], "little")
+    planes = np.frombuffer(pa.decompress(blob[8:], size, "zstd", asbytes=True), np.uint8)
+    wide = np.dtype(kind).itemsize
+    return np.ascontiguousarray(planes.reshape(wide, size // wide).T).view(kind).ravel()
+
+
+def pack_sorted(keys: np.ndarray) -> bytes:
+    return pack(np.diff(keys, prepend=np.uint64(0)))
+
 
+def unpack_sorted(blob: bytes) -> np.ndarray:
+    return np.cumsum(unpack(blob, np.uint64), dtype=np.uint64)
+
+
+_ROWS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("text", pa.string())])
+
+
+def _packed(batches):
+    """Rows (part, doc_id, held_out, text) as chunks (chunk, size, rows), each an Arrow stream with row numbers."""
+    row, held, size, first = 0, [], 0, None
+
+    def chunk():
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, _ROWS, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+            for x in held:
+                w.write_batch(x)
+        return pa.RecordBatch.from_arrays([pa.array([first]), pa.array([size]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "size", "rows"])
 
-def _dealt(batches):
-    """Rows (part, doc_id, held_out, text) with a row number and the chunk they belong to."""
-    row, chunk, size = 0, 0, 0
     for b in batches:
         for s, e in X.slices(b.column(3), 1 << 20):
             sub = b.slice(s, e - s)
-            part = sub.column(0).to_numpy(zero_copy_only=False).astype(np.int64)[0] << 33
-            size += sub.column(3).nbytes + 64 * (e - s)
-            yield pa.RecordBatch.from_arrays([pa.array(part + row + np.arange(e - s)), pa.array(np.full(e - s, part + chunk)), *sub.columns[1:]], names=["row", "chunk", "doc_id", "held_out", "text"])
-            row += e - s
+            at = (sub.column(0).to_numpy(zero_copy_only=False).astype(np.int64)[0] << 33) + row
+            first = at if first is None else first
+            # Taken row by row, so that a stream holds these rows' bytes alone.
+            sub = sub.take(pa.array(np.arange(e - s)))
+            held.append(pa.RecordBatch.from_arrays([pa.array(at + np.arange(e - s)), *sub.columns[1:]], schema=_ROWS))
+            row, size = row + e - s, size + held[-1].nbytes
             if size >= CHUNK_BYTES:
-                chunk, size = chunk + 1, 0
+                yield chunk()
+                held, size, first = [], 0, None
+    if held:
+        yield chunk()
+
+
+def _unpacked(blob, most: int):
+    """A chunk's rows, some at a time."""
+    for b in pa.ipc.open_stream(pa.py_buffer(blob)):
+        for s, e in X.slices(b.column(3), most):
+            yield b.slice(s, e - s)
+
+
+def _gram_tallies(blob, order: int):
+    """Sorted distinct grams of a chunk with their training counts; grams of held-out rows alone have 0."""
+    held = {}
+
+    def fold(kind, parts):
+        part = _tally(np.concatenate(parts))
+        held[kind] = _merge(held[kind], part) if kind in held else part
+
+    fresh = {0: [], 1: []}
+    for sub in _unpacked(blob, 1 << 20):
+        out = sub.column(2)
+        for kind, rows in ((0, sub.filter(pc.invert(out))), (1, sub.filter(out))):
+            if rows.num_rows:
+                t = X.flat(rows.column(3))
+                data, bounds, _ = streams(t, X.split(t, X.NOT_SPACE), order)
+                fresh[kind].append(grams(data, bounds, order))
+                if sum(map(len, fresh[kind])) >= CHUNK:
+                    fold(kind, fresh[kind])
+                    fresh[kind] = []
+    for kind in (0, 1):
+        if fresh[kind]:
+            fold(kind, fresh[kind])
+    if 1 in held:
+        other = (held[1][0], np.zeros(len(held[1][0]), np.int64))
+        held[0] = _merge(held[0], other) if 0 in held else other
+    return held.get(0, (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+
+
+def _asked(order: int, split: int, parts: int):
+    """Rows (part, chunk, keys, counts) of chunks (chunk, rows)."""
 
+    def run(batches):
+        for b in batches:
+            for chunk, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                keys, n = _gram_tallies(blob.as_buffer(), order)
+                part = (X.mix((keys >> _U8) & np.uint64(256**split - 1)) % np.uint64(parts)).astype(np.int64)
+                o = np.argsort(part, kind="stable")
+                found, at = np.unique(part[o], return_index=True)
+                own = np.split(o, at[1:])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(found), pa.array(np.full(len(found), chunk, np.int64)), pa.array([pack_sorted(keys[i]) for i in own] if len(found) else [], pa.binary()), pa.array([pack(n[i].astype(np.uint32)) for i in own] if len(found) else [], pa.binary())], names=["part", "chunk", "keys", "counts"]
+                )
 
-def _asked(order):
-    """Distinct grams of each chunk with their training counts (kind 0), training words (kind 1)."""
+    return run
 
-    def run(batches):
-        fresh, held, now = {0: [], 1: [], 2: []}, {}, None
-
-        def fold(kind):
-            if fresh[kind]:
-                part = _tally(np.concatenate(fresh[kind]))
-                fresh[kind] = []
-                held[kind] = _merge(held[kind], part) if kind in held else part
-
-        def flush():
-            for kind in (0, 1, 2):
-                fold(kind)
-            none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            trained, words, other = (held.pop(kind, none) for kind in (0, 1, 2))
-            # Grams of held-out rows are asked for, but not counted.
-            both = [x for x in (trained, (other[0], np.zeros(len(other[0]), np.int64))) if len(x[0])]
-            for kind, (keys, n) in enumerate((_merge(*both) if len(both) > 1 else both[0] if both else none, words)):
-                for a in range(0, len(keys), 1 << 16):
-                    k = keys[a : a + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(np.full(len(k), now, np.int64)), pa.array(k.view(np.int64)), pa.array(n[a : a + (1 << 16)].astype(np.int64))], names=["kind", "chunk", "key", "n"])
 
+def _counted(order: int, split: int):
+    """Training words (kind 1) and grams of order split (kind 2) of chunks (rows), with counts, each once a slice."""
+
+    def run(batches):
         for b in batches:
-            chunks = b.column(0).to_numpy(zero_copy_only=False)
-            edges = np.flatnonzero(np.diff(chunks)) + 1
-            for begin, stop in zip([0, *edges], [*edges, len(chunks)], strict=True):
-                if begin == stop:
-                    continue
-                if now is not None and now != chunks[begin]:
-                    yield from flush()
-                now = chunks[begin]
-                part = b.slice(begin, stop - begin)
-                for s, e in X.slices(part.column(2), 1 << 20):
-                    sub = part.slice(s, e - s)
-                    for kind, rows in ((0, sub.filter(pc.invert(sub.column(1)))), (2, sub.filter(sub.column(1)))):
-                        if not rows.num_rows:
-                            continue
-                        t = X.flat(rows.column(2))
-                        w = X.split(t, X.NOT_SPACE)
-                        data, bounds, _ = streams(t, w, order)
-                        fresh[kind].append(grams(data, bounds, order))
-                        if not kind:
-                            fresh[1] += [X.word_hashes(t, w, lower=True), np.repeat(_END_KEY, len(t))]
-                    for kind in (0, 1, 2):
-                        if sum(map(len, fresh[kind])) >= CHUNK:
-                            fold(kind)
-        if now is not None:
-            yield from flush()
+            for blob in b.column(0):
+                held = {}
+                for sub in _unpacked(blob.as_buffer(), 1 << 21):
+                    rows = sub.filter(pc.invert(sub.column(2)))
+                    if not rows.num_rows:
+                        continue
+                    t = X.flat(rows.column(3))
+                    w = X.split(t, X.NOT_SPACE)
+                    data, bounds, _ = streams(t, w, order)
+                    fresh = {1: np.concatenate([X.word_hashes(t, w, lower=True), np.repeat(_END_KEY, len(t))])}
+                    if split:
+                        fresh[2] = grams(data, bounds, order) & np.uint64(256 ** (split + 1) - 1)
+                    for kind, keys in fresh.items():
+                        held[kind] = _merge(held[kind], _tally(keys)) if kind in held else _tally(keys)
+                        if len(held[kind][0]) >= HELD:
+                            yield from _rows_of(kind, *held.pop(kind))
+                for kind, tally in held.items():
+                    yield from _rows_of(kind, *tally)
 
     return run
 
 
-def _low_orders(grams: DataFrame, order: int, split: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Orders below `split` of the whole corpus."""
-    top = grams.where("n > 0")
-    if not split:
-        return []
-    longer = top.select(_suffix(split) if split < order else F.col("key")).distinct()
-    return lower_orders(*_collect(longer.groupBy(_suffix(split - 1)).agg(F.count("*").alias("n"))), split - 1)
-
+def _rows_of(kind: int, keys: np.ndarray, n: np.ndarray):
+    for a in range(0, len(keys), 1 << 16):
+        k = keys[a : a + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k.view(np.int64)), pa.array(n[a : a + (1 << 16)].astype(np.int64))], names=["kind", "key", "n"])
 
-def _solved(shared, order, split):
-    """(key, p) of a partition that holds all grams whose contexts end in the same `split` bytes."""
 
-    def run(batches):
-        got = [(b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()) for b in batches]
-        if not got:
-            return
-        keys, n = (np.concatenate(x) for x in zip(*got, strict=True))
-        o = np.argsort(keys)
-        keys, n = keys[o], n[o]
+def _low_orders(counted: DataFrame, split: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Orders below `split` of the whole corpus: a gram counts the distinct ones of order split that end in it."""
+    if not split:
+        return []
+    longer = counted.where("kind = 2").select("key").distinct()
+    return lower_orders(*_collect(longer.groupBy(F.col("key").bitwiseAND(F.lit(256**split - 1)).alias("key")).agg(F.count("*").alias("n"))), split - 1)
+
+
+def _solved(shared, order: int, split: int):
+    """(chunk, keys, p) of one part's rows."""
+
+    def run(part: pa.Table) -> pa.Table:
+        part = part.select(["chunk", "keys", "counts"]).combine_chunks()
+        keys, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        fresh, size = [], 0
+        for i in range(part.num_rows + 1):
+            if i < part.num_rows:
+                k = unpack_sorted(part.column("keys")[i].as_py())
+                fresh.append((k, unpack(part.column("counts")[i].as_py(), np.uint32).astype(np.int64)))
+                size += len(k)
+            if fresh and (i == part.num_rows or size >= CHUNK):
+                a, b = (np.concatenate([x[j] for x in fresh] + [(keys, n)[j]]) for j in (0, 1))
+                o = np.argsort(a, kind="stable")
+                a, b = a[o], b[o]
+                at = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
+                keys, n = a[at], np.add.reduceat(b, at)
+                fresh, size = [], 0
         seen = n > 0
         trie = Trie(shared.value + lower_orders(keys[seen], n[seen], order)[split:])
-        for a in range(0, len(keys), 1 << 16):
-            k = keys[a : a + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(trie.score(k))], names=["key", "p"])
+        p = np.concatenate([np.zeros(0)] + [trie.score(keys[a : a + (1 << 18)]) for a in range(0, len(keys), 1 << 18)]).astype(np.float32)
+        own = [pack(p[np.searchsorted(keys, unpack_sorted(k.as_py()))]) for k in part.column("keys")]
+        return pa.table([part.column("chunk"), part.column("keys"), pa.array(own, pa.binary())], names=["chunk", "keys", "p"])
 
     return run
 
 
-def _probabilities(grams: DataFrame, order: int, split: int = SPLIT) -> DataFrame:
-    """(key, p): log10 of the last byte of each gram after the others; grams are (key, training count), each once."""
-    spark, split = grams.sparkSession, min(split, order)
-    low = spark.sparkContext.broadcast(_low_orders(grams, order, split))
-    ends = F.shiftrightunsigned("key", 8).bitwiseAND(F.lit(256**split - 1))
-    # As many parts as asked for: a part is held whole, so small ones aren't put together.
-    return grams.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), ends).mapInArrow(_solved(low, order, split), "key long, p double")
-
-
 def _scored(shared, order):
     """A chunk's rows and the probabilities of its grams: code, frequent words' sum, other words."""
 
     def run(rows: pa.Table, own: pa.Table) -> pa.Table:
         keys, logs = shared.value
         frequent = X.Table(keys)
-        known_grams, p = X.Table(own.column("key").to_numpy().view(np.uint64)), own.column("p").to_numpy()
+        known_grams = X.Table(np.concatenate([np.zeros(0, np.uint64)] + [unpack_sorted(k.as_py()) for k in own.column("keys")]))
+        p = np.concatenate([np.zeros(0, np.float32)] + [unpack(k.as_py(), np.float32) for k in own.column("p")]).astype(np.float64)
         out = []
-        for b in rows.select(["row", "doc_id", "held_out", "text"]).combine_chunks().to_batches():
-            for s, e in X.slices(b.column(3), 1 << 19):
-                sub = b.slice(s, e - s)
+        for blob in rows.column("rows"):
+            for sub in _unpacked(blob.as_buffer(), 1 << 19):
                 t = X.flat(sub.column(3))
                 w = X.split(t, X.NOT_SPACE)
                 data, bounds, length = streams(t, w, order)
@@ -387,25 +401,27 @@ def score(docs: DataFrame, order: int = ORDER, folds: int = 5, frequent: int = F
     """One row per document; training rows are those that aren't held out (crc32 of the id modulo folds isn't 1)."""
     spark = docs.sparkSession
     rows = docs.select(F.spark_partition_id().alias("part"), F.col("doc_id").cast("long").alias("doc_id"), held_out("doc_id", folds).alias("held_out"), F.col("text").cast("string").alias("text"))
+    split = min(SPLIT, order)
     # Written once, so row numbers and chunks are the same in each later read.
-    rows = cut(rows.mapInArrow(_dealt, "row long, chunk long, doc_id long, held_out boolean, text string"))
-    asked = cut(rows.select("chunk", "held_out", "text").mapInArrow(_asked(order), "kind int, chunk long, key long, n long"))
-    words = cut(asked.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")))
+    chunks = cut(rows.mapInArrow(_packed, "chunk long, size long, rows binary"))
+    counted = cut(chunks.select("rows").mapInArrow(_counted(order, split), "kind int, key long, n long"))
+    words = cut(counted.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")))
     whole = words.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     total, distinct = int(whole["n"] or 0), int(whole["v"])
     keys, n = _collect(words.where(F.col("n") >= _least(words, frequent)))
     end_key = int(_END_KEY.view(np.int64)[0])
     ends = words.where(F.col("key") == end_key).agg(F.sum("n")).first()[0] or 0
     below = np.log10(total + 0.5 * (distinct + 1))
-    asked = asked.where("kind = 0").select("chunk", "key", "n")
-    distinct_grams = cut(asked.groupBy("key").agg(F.sum("n").alias("n")))
-    known = cut(_probabilities(distinct_grams, order))
-    release(distinct_grams)
+    low = spark.sparkContext.broadcast(_low_orders(counted, split))
+    release(counted)
+    size = chunks.agg(F.sum("size")).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(size) // CHUNK_BYTES))
+    asked = chunks.select("chunk", "rows").mapInArrow(_asked(order, split, parts), "part long, chunk long, keys binary, counts binary")
+    known = cut(asked.groupBy("part").applyInArrow(_solved(low, order, split), "chunk long, keys binary, p binary"))
     shared = spark.sparkContext.broadcast((keys, np.log10(n + 0.5)))
-    own = asked.select("chunk", "key").join(known, "key")
-    scored = rows.groupBy("chunk").cogroup(own.groupBy("chunk")).applyInArrow(_scored(shared, order), "row long, doc_id long, held_out boolean, n_tokens long, score double, easy double, easy_known long, rest array<long>")
+    scored = chunks.select("chunk", "rows").groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(_scored(shared, order), "row long, doc_id long, held_out boolean, n_tokens long, score double, easy double, easy_known long, rest array<long>")
     part = cut(scored)
-    release(rows, known)
+    release(chunks, known)
     # Rare words are spread over many keys; frequent ones were settled above and never move.
     rest = part.select("row", F.explode("rest").alias("key")).join(words.withColumnRenamed("n", "c"), "key", "left").groupBy("row").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.5))).alias("hard"), F.count("c").alias("hard_known"))
     zero = F.lit(0)

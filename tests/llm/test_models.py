@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from ontolith.llm import lm as M
 from ontolith.llm import mixing as B
@@ -78,17 +79,21 @@ def test_ppm_against_plain(spark, odd_rows, none):
     assert M.score(none).count() == 0
 
 
-def test_pruned_trie_still_adds_up(spark):
+def test_trie_adds_up():
     text = "the cat sat on the mat and the dog sat there too " * 2 + "a dog sat"
-    docs = spark.createDataFrame([(text,)], "text string")
-    counts = docs.mapInArrow(M._counts(3), "kind int, key long, n long").groupBy("kind", "key").sum("n").withColumnRenamed("sum(n)", "n")
-    for most in (10**6, 12):
-        orders = M.gather_orders(counts, 3, most)
-        trie = M.Trie(orders if len(orders) > 1 else M.lower_orders(*orders[0], 3))
-        assert most > 12 or len(orders[-1][0]) <= 12
-        for context in (b"the", b"zzz", b" sa", b"\n\n\n"):
-            code = np.array([int.from_bytes(context + bytes([s]), "big") for s in range(256)], np.uint64)
-            assert np.isclose((10.0 ** trie.score(code)).sum(), 1)
+    t = X.flat(pa.array([text]))
+    data, bounds, _ = M.streams(t, X.split(t, X.NOT_SPACE), 3)
+    trie = M.Trie(M.lower_orders(*M._tally(M.grams(data, bounds, 3)), 3))
+    for context in (b"the", b"zzz", b" sa", b"\n\n\n"):
+        code = np.array([int.from_bytes(context + bytes([s]), "big") for s in range(256)], np.uint64)
+        assert np.isclose((10.0 ** trie.score(code)).sum(), 1)
+
+
+@pytest.mark.parametrize("keys", [[], [0], [3, 2**56 - 1], list(range(1000))])
+def test_packed_numbers(keys):
+    keys = np.array(keys, np.uint64)
+    assert (M.unpack_sorted(M.pack_sorted(keys)) == keys).all()
+    assert (M.unpack(M.pack(keys.astype(np.float32)), np.float32) == keys.astype(np.float32)).all()
 
 
 def test_every_gram_counts_in_small_chunks(spark, monkeypatch):
