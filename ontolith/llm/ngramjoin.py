@@ -3,13 +3,20 @@
 Each text becomes its set of five-word shingles (lower-cased A-Z words of letters, digits
 and bytes over 127; a shorter text is one shingle). Texts with the same set form one class
 and only a representative goes on. In each run a set picks its least tokens under a hash
-that depends on the path so far, and sets that share a path share a bucket. Buckets over
-BUCKET sets are split again by the next token of the path, down to DEPTH. Inside a bucket,
-128-bin minima are compared by leaders, which gives a forest of candidate edges, not all
-pairs. Components of those edges are small candidate clusters; there whole shingle sets are
-compared exactly. Clusters over BLOCK sets are dealt out as pairs of blocks, so that no task
-holds an unbounded group, and inside a block the triangle inequality of Jaccard distance
-settles most pairs of a large group of near copies without looking at them.
+that depends on the path so far, and sets that share a path share a bucket. Sets of a bucket
+are compared by 128-bin minima, a lot of BUCKET at a time, by leaders: near copies of a leader
+lead nothing, and lots of a large bucket meet by their leaders alone, GROUP at a time, as long
+as that halves them. A bucket of more leaders than that is split: its sets, and no others, pick
+tokens of their minima under the path, down to DEPTH. Edges found are a forest in each lot, not
+all pairs; what is still large at DEPTH (thousands of sets that share eight sampled tokens, all
+unlike enough to lead and too alike to part) is compared lots against lots.
+
+Components of the edges are candidate clusters; there whole shingle sets are compared exactly.
+A cluster of up to BLOCK sets and BLOCK_TOKENS shingles is one group. A larger one is dealt into
+blocks by size, as sets whose sizes differ by more than the threshold can't be linked, and blocks
+of neighbouring sizes meet in pairs. A block travels as differences to its first set, so a block
+of near copies is a few bytes a set, however often it is sent; inside, members common with
+the first set are compared as bit masks.
 
 Runs repeat until the chance to find a pair of exactly the threshold reaches RECALL.
 
@@ -28,16 +35,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as X
-from .util import RID, components, cut, with_rid
+from .util import RID, components, cut, release, with_rid
 
 SHINGLE = 5
 THRESHOLD = 0.8
 RECALL = 0.9999
 BUCKET = 256
-DEPTH = 3
+GROUP = 2048
+DEPTH = 8
 FAN = 2
 BINS = 128
 BLOCK = 2048
+BLOCK_TOKENS = 1 << 20
 #: Sketches this alike join a leader's candidates; its own followers need SURE.
 NEAR, SURE = 0.42, 0.87
 BLOOM_WORDS = 1 << 20
@@ -90,42 +99,45 @@ def sketch(s: np.ndarray) -> np.ndarray:
     return out
 
 
+def chosen(s: np.ndarray, paths: np.ndarray, fan: int = FAN) -> np.ndarray:
+    """The next paths: for each path, the least tokens of a set under a hash of both."""
+    h = X.mix((s if len(s) >= fan else np.resize(s, fan))[None, :] ^ paths[:, None])
+    if h.shape[1] > fan:
+        h = np.partition(h, fan - 1, axis=1)[:, :fan]
+    return np.sort(h, axis=1).ravel()
+
+
 def chosen_paths(s: np.ndarray, runs: int, depth: int = DEPTH, fan: int = FAN) -> list[np.ndarray]:
     """For each level, the paths of a set over all runs (runs * fan ** level of them, child i of i // fan)."""
-    paths = np.array([int(X.seeded(1000 + r)) for r in range(runs)], np.uint64)
-    s = s if len(s) >= fan else np.resize(s, fan)
-    out = []
+    out = [np.array([int(X.seeded(1000 + r)) for r in range(runs)], np.uint64)]
     for _ in range(depth):
-        h = X.mix(s[None, :] ^ paths[:, None])
-        if h.shape[1] > fan:
-            h = np.partition(h, fan - 1, axis=1)[:, :fan]
-        paths = np.sort(h, axis=1).ravel()
-        out.append(paths)
-    return out
+        out.append(chosen(s, out[-1], fan))
+    return out[1:]
+
+
+def sampled(row: np.ndarray) -> np.ndarray:
+    """The tokens that a sketch holds, as (bin, value)."""
+    full = np.flatnonzero(row)
+    return X.mix((full.astype(np.uint64) << X.U(16)) | row[full].astype(np.uint64))
 
 
 def _signatures(runs: int):
-    names = ["rid", "doc_id", "th", "sk", "n", *(f"p{d}" for d in range(1, DEPTH + 1)), "sketch"]
+    names = ["rid", "doc_id", "th", "sk", "n", "paths", "sketch"]
 
     def run(batches):
         for b in batches:
             text = b.column(3)
             for a, sets in shingle_sets(text):
                 sub = b.slice(a, len(sets))
-                seen, sk, n, sketches = {}, [], [], []
-                levels = [[] for _ in range(DEPTH)]
+                seen, sk, n, paths, sketches = {}, [], [], [], []
                 for s in sets:
                     key = set_key(s)
                     if key not in seen:
-                        seen[key] = ([p.view(np.int64) for p in chosen_paths(s, runs)], sketch(s).tobytes()) if len(s) else ([[]] * DEPTH, b"")
-                    for d in range(DEPTH):
-                        levels[d].append(seen[key][0][d])
-                    sk.append(key), n.append(len(s)), sketches.append(seen[key][1])
-                yield pa.RecordBatch.from_arrays(
-                    [sub.column(0), sub.column(1), sub.column(2), pa.array(sk, pa.binary()), pa.array(n, pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in levels), pa.array(sketches, pa.binary())], names=names
-                )
+                        seen[key] = (np.unique(chosen_paths(s, runs, 1)[0]).view(np.int64), sketch(s).tobytes()) if len(s) else ([], b"")
+                    sk.append(key), n.append(len(s)), paths.append(seen[key][0]), sketches.append(seen[key][1])
+                yield pa.RecordBatch.from_arrays([sub.column(0), sub.column(1), sub.column(2), pa.array(sk, pa.binary()), pa.array(n, pa.int64()), pa.array(paths, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=names)
 
-    return run, "rid string, doc_id long, th long, sk binary, n long, " + ", ".join(f"p{d} array<long>" for d in range(1, DEPTH + 1)) + ", sketch binary"
+    return run, "rid string, doc_id long, th long, sk binary, n long, paths array<long>, sketch binary"
 
 
 def alike(m: np.ndarray, one: np.ndarray) -> np.ndarray:
@@ -134,13 +146,14 @@ def alike(m: np.ndarray, one: np.ndarray) -> np.ndarray:
     return ((m == one) & full).sum(1) / np.maximum(full.sum(1), 1)
 
 
-def leaders(m: np.ndarray) -> list[tuple[int, int]]:
-    """Edges that connect all rows that may be near each other: a forest, never all pairs.
+def leaders(m: np.ndarray) -> tuple[list[tuple[int, int]], list[int]]:
+    """Edges that connect all rows that may be near each other, a forest, never all pairs; and the rows that lead.
 
     A row at least SURE alike to a leader follows it and leads nothing. Whatever is near a
-    follower is then alike to the leader by NEAR, by the triangle inequality.
+    follower is then alike to the leader by NEAR, by the triangle inequality; so are the leaders
+    of two rows near each other.
     """
-    live, edges, parent = np.arange(len(m)), [], list(range(len(m)))
+    live, edges, lead, parent = np.arange(len(m)), [], [], list(range(len(m)))
 
     def root(x):
         while parent[x] != x:
@@ -148,8 +161,9 @@ def leaders(m: np.ndarray) -> list[tuple[int, int]]:
             x = parent[x]
         return x
 
-    while len(live) > 1:
+    while len(live):
         top, rest = int(live[0]), live[1:]
+        lead.append(top)
         a = alike(m[rest], m[top])
         for x in rest[a >= NEAR].tolist():
             i, j = root(top), root(x)
@@ -157,84 +171,71 @@ def leaders(m: np.ndarray) -> list[tuple[int, int]]:
                 parent[max(i, j)] = min(i, j)
                 edges.append((top, x))
         live = rest[a < SURE]
-    return edges
+    return edges, lead
+
 
+def _lots(batches):
+    """Rows are lots (path, more, sks, sketches): edges (a, b), and where more lots have the path its leaders (a, path)."""
+    for batch in batches:
+        ea, eb, path = [], [], []
+        for p, more, sks, sketches in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+            edges, lead = leaders(np.frombuffer(b"".join(sketches), np.uint16).reshape(len(sks), BINS))
+            for i, j in edges:
+                ea.append(sks[i]), eb.append(sks[j]), path.append(None)
+            for i in lead if more else ():
+                ea.append(sks[i]), eb.append(None), path.append(p)
+        yield pa.RecordBatch.from_arrays([pa.array(ea, pa.binary()), pa.array(eb, pa.binary()), pa.array(path, pa.int64())], names=["a", "b", "path"])
 
-def _bucket_edges(batches):
-    """Rows are buckets (sks, sketches)."""
+
+def _children(batches):
+    """Next paths of rows (sk, path, sketch)."""
     for b in batches:
-        ea, eb = [], []
-        for sks, sketches in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            for i, j in leaders(np.frombuffer(b"".join(sketches), np.uint16).reshape(len(sks), BINS)):
-                ea.append(sks[i]), eb.append(sks[j])
-        yield pa.RecordBatch.from_arrays([pa.array(ea, pa.binary()), pa.array(eb, pa.binary())], names=["a", "b"])
+        sk, path = [], []
+        for s, p, row in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
+            below = np.unique(chosen(sampled(np.frombuffer(row, np.uint16)), np.array([p], np.int64).view(np.uint64)))
+            sk += [s] * len(below)
+            path += below.view(np.int64).tolist()
+        yield pa.RecordBatch.from_arrays([pa.array(sk, pa.binary()), pa.array(path, pa.int64())], names=["sk", "path"])
 
 
 def _compared(rows: DataFrame, reps: DataFrame) -> DataFrame:
-    """Edges within each (path, lot) of rows (path, lot, sk); only these rows' sketches are moved."""
-    full = rows.select("path", "lot", "sk").distinct().join(reps.select("sk", "sketch"), "sk")
-    groups = full.groupBy("path", "lot").agg(F.sort_array(F.collect_list(F.struct("sk", "sketch"))).alias("g")).select(F.col("g.sk").alias("s"), F.col("g.sketch").alias("k"))
-    return cut(groups.mapInArrow(_bucket_edges, "a binary, b binary"))
+    """Edges (a, b) and leaders (a, path) of the lots of rows (path, lot, more, sk); only these rows' sketches are moved."""
+    full = rows.select("path", "lot", "more", "sk").join(reps.select("sk", "sketch"), "sk")
+    groups = full.groupBy("path", "lot").agg(F.first("more").alias("more"), F.sort_array(F.collect_list(F.struct("sk", "sketch"))).alias("g")).select("path", "more", F.col("g.sk").alias("s"), F.col("g.sketch").alias("k"))
+    return cut(groups.mapInArrow(_lots, "a binary, b binary, path long"))
 
 
 def _clusters(reps: DataFrame) -> DataFrame:
-    """(node, label): components of candidate edges between class representatives.
-
-    A bucket of up to BUCKET sets is one lot. A larger one is dealt into lots. When the lots are
-    done, the sets of a large bucket that aren't yet in its main component are compared with all
-    of it, if they are few; else the bucket is split by the next token of its path.
-    """
-    found, more, opened = None, None, None
-    for d in range(1, DEPTH + 1):
-        above = f"p{d - 1}[i div {FAN}]" if d > 1 else "0L"
-        rows = reps.select("sk", F.explode(F.expr(f"transform(p{d}, (p, i) -> struct({above} as above, p as path))")).alias("x")).select("sk", "x.above", "x.path")
-        if opened is not None:
-            rows = rows.join(opened, "above", "left_semi")
-        rows = rows.select("sk", "path").distinct()
-        sizes = cut(rows.groupBy("path").agg(F.count("*").alias("m")).where("m > 1").withColumn("lots", F.ceil(F.col("m") / BUCKET)))
-        own = F.pmod(F.xxhash64("sk", "path"), F.col("lots"))
-        made = _compared(rows.join(sizes, "path").withColumn("lot", own), reps)
-        if found is None:
-            found = components(made)
-        else:
-            more = made if more is None else more.unionByName(made)
-        large = sizes.where("lots > 1")
-        if not large.limit(1).count():
-            break
-        # Labels of the first level will do at all: finer ones only mean more to compare.
-        inside = rows.join(large, "path").withColumn("own", own).join(found.withColumnRenamed("node", "sk"), "sk", "left").withColumn("label", F.coalesce("label", "sk"))
-        inside = cut(inside)
-        main = inside.groupBy("path", "label").agg(F.count("*").alias("k")).groupBy("path").agg(F.max(F.struct("k", "label")).alias("main"))
-        inside = cut(inside.join(main, "path").select("path", "sk", "own", "lots", (F.col("label") != F.col("main.label")).alias("out"), (F.col("m") - F.col("main.k")).alias("rest")).where("rest > 0"))
-        few = inside.where(F.col("rest") <= BUCKET)
-        outside = few.where("out").select("path", "sk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lots") - 1)).alias("lot"))
-        made = _compared(few.select("path", "sk", F.col("own").alias("lot")).unionByName(outside), reps)
-        more = made if more is None else more.unionByName(made)
-        many = inside.where(F.col("rest") > BUCKET)
-        opened = cut(many.select(F.col("path").alias("above")).distinct())
-        if not opened.limit(1).count():
+    """(node, label): components of candidate edges between class representatives."""
+    edges, rows = [], cut(reps.select("sk", F.explode("paths").alias("path")))
+    for _ in range(DEPTH):
+        # Lots of all sets, then of leaders, until a bucket is one lot or its leaders don't get fewer.
+        opened, active, lot = None, rows, BUCKET
+        while True:
+            sizes = cut(active.groupBy("path").agg(F.count("*").alias("m")).where("m > 1").withColumn("lots", F.ceil(F.col("m") / lot)))
+            out = _compared(active.join(sizes, "path").select("path", F.pmod(F.xxhash64("sk", "path"), F.col("lots")).alias("lot"), (F.col("lots") > 1).alias("more"), "sk"), reps)
+            edges.append(out.where("b is not null").select("a", "b"))
+            lead = out.where("b is null").select(F.col("a").alias("sk"), "path")
+            if not lead.limit(1).count():
+                break
+            stuck = lead.groupBy("path").agg(F.count("*").alias("k")).join(sizes, "path").where((F.col("k") > GROUP) & (2 * F.col("k") > F.col("m"))).select("path", "m")
+            stuck = cut(stuck)
+            opened = stuck if opened is None else opened.unionByName(stuck)
+            active, lot = cut(lead.join(stuck, "path", "left_anti")), GROUP
+        if opened is None or not opened.limit(1).count():
             break
+        inside = cut(rows.join(opened.select("path"), "path", "left_semi"))
+        release(rows)
+        rows = cut(inside.join(reps.select("sk", "sketch"), "sk").select("sk", "path", "sketch").mapInArrow(_children, "sk binary, path long"))
     else:
-        # Unlike sets that share DEPTH sampled tokens: lots of the ones outside against all lots.
-        side = F.ceil(F.col("rest") / BUCKET)
-        lots = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
-        mine = F.pmod(F.xxhash64("path", "sk"), side)
-        everyone = many.select("path", "sk", "own", F.explode(lots(side)).alias("j"), "lots").select("path", "sk", (F.col("j") * F.col("lots") + F.col("own")).alias("lot"))
-        outside = many.where("out").select("path", "sk", mine.alias("j"), "lots", F.explode(lots(F.col("lots"))).alias("i")).select("path", "sk", (F.col("j") * F.col("lots") + F.col("i")).alias("lot"))
-        more = more.unionByName(_compared(everyone.unionByName(outside), reps))
-    return found if more is None else _merged(found, more)
-
-
-def _merged(found: DataFrame, more: DataFrame) -> DataFrame:
-    """Components (node, label) joined up by further edges (a, b): only what lies between components is looked at."""
-    at = lambda c: found.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
-    between = cut(more.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).where("a <> b").distinct())
-    if not between.limit(1).count():
-        return found
-    joined = components(between).select(F.col("node").alias("old"), F.col("label").alias("new"))
-    ends = between.select(F.col("a").alias("node")).unionByName(between.select(F.col("b").alias("node"))).distinct()
-    known = found.unionByName(ends.join(found, "node", "left_anti").select("node", F.col("node").alias("label")))
-    return cut(known.join(joined, F.col("label") == F.col("old"), "left").select("node", F.coalesce("new", "label").alias("label")))
+        rows = inside.join(inside.groupBy("path").agg(F.ceil(F.count("*") / F.lit(GROUP)).alias("lots")), "path")
+        own = F.pmod(F.xxhash64("sk", "path"), F.col("lots"))
+        pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("lots") - 1), lambda j: F.least(j, own) * F.col("lots") + F.greatest(j, own))
+        edges.append(_compared(rows.select("path", F.explode(pairs).alias("lot"), F.lit(False).alias("more"), "sk"), reps).select("a", "b"))
+    out = edges[0]
+    for more in edges[1:]:
+        out = out.unionByName(more)
+    return components(out)
 
 
 def _bloom(ids: DataFrame) -> np.ndarray:
@@ -248,7 +249,7 @@ def _bloom(ids: DataFrame) -> np.ndarray:
 
 
 def _sets(bloom):
-    """Shingle sets of texts that may be in a cluster, each once a task."""
+    """Shingle sets of texts that may be in a cluster; most repeats in a task go at once."""
 
     def run(batches):
         bits, done = bloom.value, set()
@@ -263,6 +264,8 @@ def _sets(bloom):
                 for s in sets:
                     key = set_key(s)
                     if key and key not in done:
+                        if len(done) >= 1 << 16:
+                            done.clear()
                         done.add(key)
                         sk.append(key), blob.append(s.tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(sk, pa.binary()), pa.array(blob, pa.binary())], names=["sk", "members"])
@@ -318,23 +321,58 @@ def exact_links(sets: list[np.ndarray], weight: np.ndarray, left: np.ndarray, ri
     return total, forest
 
 
-def _verify(threshold):
-    """Rows are pairs of blocks (i, j, blocks, list of (sk, copies, block, members)).
+def pack_block(rows: list[tuple[bytes, int, np.ndarray]]) -> bytes:
+    """Sets (key, copies, members) as differences to the first of them."""
+    pivot, masks, extra = rows[0][2], [], []
+    for _, _, s in rows:
+        masks.append(np.packbits(X.member(pivot, s)))
+        extra.append(s[~X.member(s, pivot)])
+    head = np.array([len(rows), len(pivot)], np.int64).tobytes()
+    blob = b"".join([head, b"".join(k for k, _, _ in rows), np.array([c for _, c, _ in rows], np.int64).tobytes(), np.array([len(x) for x in extra], np.int64).tobytes(), pivot.tobytes(), *(m.tobytes() for m in masks), *(x.tobytes() for x in extra)])
+    return len(blob).to_bytes(8, "little") + pa.compress(blob, "zstd", asbytes=True)
+
+
+def unpack_block(data: bytes) -> list[tuple[bytes, int, np.ndarray]]:
+    blob = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
+    n, p = (int(x) for x in np.frombuffer(blob, np.int64, 2))
+    at = 16 + 16 * n
+    copies, more = np.frombuffer(blob, np.int64, n, at), np.frombuffer(blob, np.int64, n, at + 8 * n)
+    at += 16 * n
+    pivot, wide = np.frombuffer(blob, np.uint64, p, at), -(-p // 8)
+    at += 8 * p
+    rest, out = at + n * wide, []
+    for i in range(n):
+        mask = np.unpackbits(np.frombuffer(blob, np.uint8, wide, at + i * wide), count=p).astype(bool)
+        extra = np.frombuffer(blob, np.uint64, int(more[i]), rest)
+        rest += 8 * int(more[i])
+        out.append((blob[16 + 16 * i : 32 + 16 * i], int(copies[i]), np.sort(np.concatenate([pivot[mask], extra]))))
+    return out
+
+
+_CHECKED = "sk binary, links long, label binary, other binary, cluster binary, block long, data binary"
+
+
+def _checked(found: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True) if found else [()] * 7, kinds, strict=True)], names=[x.split()[0] for x in _CHECKED.split(", ")])
+
 
-    Gives each set's links, with its component's least set where the cluster is one block; for
-    larger clusters a forest of links follows.
+def _blocks(threshold):
+    """Rows are blocks (cluster, block, whole, list of (sk, copies, members)).
+
+    A cluster that is one block gives each set's links and its component's least set; a block of
+    a larger one is packed.
     """
 
     def run(batches):
         for batch in batches:
-            sk, links, label, other = [], [], [], []
-            for i, j, blocks, rows in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
-                sets = [np.frombuffer(r["members"], np.uint64) for r in rows]
-                block = np.array([r["block"] for r in rows])
-                left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-                if not len(left) or not len(right):
+            for cluster, block, whole, rows in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+                rows = [(r["sk"], r["copies"], np.frombuffer(r["members"], np.uint64)) for r in rows]
+                if not whole:
+                    yield _checked([(None, None, None, None, cluster, block, pack_block(rows))])
                     continue
-                total, forest = exact_links(sets, np.array([r["copies"] for r in rows], np.int64), left, right, threshold)
+                everyone = np.arange(len(rows))
+                total, forest = exact_links([s for _, _, s in rows], np.array([c for _, c, _ in rows], np.int64), everyone, everyone, threshold)
                 top = list(range(len(rows)))
 
                 def root(x, top=top):
@@ -342,18 +380,59 @@ def _verify(threshold):
                         x = top[x]
                     return x
 
-                for a, b in forest if blocks == 1 else ():
+                for a, b in forest:
                     a, b = root(a), root(b)
                     top[max(a, b)] = min(a, b)
-                for k, (r, n) in enumerate(zip(rows, total, strict=True)):
-                    sk.append(r["sk"]), links.append(int(n)), other.append(None), label.append(rows[root(k)]["sk"] if blocks == 1 else None)
-                for a, b in forest if blocks > 1 else ():
-                    sk.append(rows[a]["sk"]), links.append(0), other.append(rows[b]["sk"]), label.append(None)
-            yield pa.RecordBatch.from_arrays([pa.array(sk, pa.binary()), pa.array(links, pa.int64()), pa.array(label, pa.binary()), pa.array(other, pa.binary())], names=["sk", "links", "label", "other"])
+                yield _checked([(r[0], int(n), rows[root(k)][0], None, None, None, None) for k, (r, n) in enumerate(zip(rows, total, strict=True))])
 
     return run
 
 
+def _pairs(threshold):
+    """Rows are pairs of packed blocks (list of (block, data)); one block alone is compared with itself."""
+
+    def run(batches):
+        for batch in batches:
+            for i, j, packed in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                sides = {x["block"]: unpack_block(x["data"]) for x in packed}
+                if i not in sides or j not in sides:
+                    continue
+                left = sides[i]
+                rows = left if i == j else left + sides[j]
+                at = np.arange(len(rows))
+                total, forest = exact_links([s for _, _, s in rows], np.array([c for _, c, _ in rows], np.int64), at[: len(left)], at if i == j else at[len(left) :], threshold)
+                yield _checked([(r[0], int(n), None, None, None, None, None) for r, n in zip(rows, total, strict=True)] + [(rows[a][0], 0, None, rows[b][0], None, None, None) for a, b in forest])
+
+    return run
+
+
+def _exact(placed: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
+    """Links of placed sets (sk, label, copies, n) as rows _CHECKED: (sk, links, least set) or (sk, links, null) and a forest (sk, other)."""
+    grade = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(1 / threshold))))
+    sizes = placed.groupBy("label", grade.alias("grade")).agg(F.count("*").alias("m"), F.sum("n").alias("t"))
+    subs = F.ceil(F.greatest(F.col("m") / BLOCK, F.col("t") / BLOCK_TOKENS))
+    sizes = sizes.groupBy("label").agg(((F.sum("m") <= BLOCK) & (F.sum("t") <= BLOCK_TOKENS)).alias("whole"), F.map_from_entries(F.collect_list(F.struct("grade", subs.alias("subs")))).alias("subs"))
+    sizes = cut(sizes)
+    name = lambda g, b: g * F.lit(1 << 32) + b
+    block = F.when(F.col("whole"), F.lit(0).cast("long")).otherwise(name(F.col("grade"), F.pmod(F.xxhash64("sk"), F.try_element_at("subs", F.col("grade")))))
+    dealt = placed.withColumn("grade", grade).join(sizes, "label").withColumn("block", block).join(members, "sk")
+    first = cut(dealt.groupBy("label", "block").agg(F.first("whole").alias("whole"), F.sort_array(F.collect_list(F.struct("sk", "copies", "members"))).alias("rows")).select("label", "block", "whole", "rows").mapInArrow(_blocks(threshold), _CHECKED))
+    packed = first.where("data is not null").select(F.col("cluster").alias("label"), "block", "data")
+    out = first.where("data is null")
+    if not packed.limit(1).count():
+        return out
+    packed = packed.join(sizes.where("not whole"), "label").withColumn("grade", F.shiftright("block", 32))
+
+    def with_grade(step, pair):
+        n = F.coalesce(F.try_element_at("subs", F.col("grade") + step), F.lit(0).cast("long"))
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda b: pair(name(F.col("grade") + step, b)))).otherwise(F.array().cast("array<struct<i:long,j:long>>"))
+
+    ends = lambda other: F.struct(F.least(other, F.col("block")).alias("i"), F.greatest(other, F.col("block")).alias("j"))
+    met = packed.select("label", "block", "data", F.explode(F.concat(*(with_grade(step, ends) for step in (-1, 0, 1)))).alias("p"))
+    met = met.groupBy("label", "p.i", "p.j").agg(F.collect_list(F.struct("block", "data")).alias("packed")).select("i", "j", "packed")
+    return out.unionByName(cut(met.mapInArrow(_pairs(threshold), _CHECKED)))
+
+
 def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, text: str = "text") -> DataFrame:
     """One row per document: doc_id, __rid, class_id (least doc_id of its component), rep_id
     (least doc_id with the same set), n_shingles, n_links (documents at or over the threshold)
@@ -365,18 +444,13 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
     signed = cut(base.mapInArrow(run, schema))
     own = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "rid")
     # Rows that may stand for a set; max_by keeps one a set before the shuffle.
-    reps = signed.where("n > 0").groupBy("sk").agg(F.min("th").alias("th"), F.count("*").alias("copies"), F.min(own).alias("least"), *(F.first(f"p{d}").alias(f"p{d}") for d in range(1, DEPTH + 1)), F.first("sketch").alias("sketch"), F.first("n").alias("n"))
+    reps = signed.where("n > 0").groupBy("sk").agg(F.min("th").alias("th"), F.count("*").alias("copies"), F.min(own).alias("least"), F.first("paths").alias("paths"), F.first("sketch").alias("sketch"), F.first("n").alias("n"))
     reps = cut(reps)
-    clusters = _clusters(reps)
-    sizes = clusters.groupBy("label").agg(F.count("*").alias("m")).withColumn("blocks", F.ceil(F.col("m") / BLOCK))
-    placed = cut(clusters.join(sizes, "label").join(reps.select(F.col("sk").alias("node"), "th", "copies"), "node").select(F.col("node").alias("sk"), "label", "blocks", "th", "copies"))
+    placed = cut(_clusters(reps).join(reps.select(F.col("sk").alias("node"), "th", "copies", "n"), "node").select(F.col("node").alias("sk"), "label", "th", "copies", "n"))
     bloom = spark.sparkContext.broadcast(_bloom(placed))
     hashed = docs.select("text", *(F.pmod(F.xxhash64(F.xxhash64("text"), F.lit(s)), F.lit(BLOOM_WORDS * 64)).alias(f"h{s}") for s in (1, 2))).where("length(text) > 0")
     members = hashed.mapInArrow(_sets(bloom), "sk binary, members binary").groupBy("sk").agg(F.first("members").alias("members"))
-    block = F.pmod(F.xxhash64("sk"), F.col("blocks"))
-    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.struct(F.least(j, F.col("block")).alias("i"), F.greatest(j, F.col("block")).alias("j")))
-    dealt = placed.withColumn("block", block).join(members, "sk").select("sk", "label", "block", "copies", "members", "blocks", F.explode(pairs).alias("p")).select("sk", "label", "blocks", "block", "copies", "members", "p.i", "p.j")
-    checked = cut(dealt.groupBy("label", "i", "j", "blocks").agg(F.sort_array(F.collect_list(F.struct("sk", "copies", "block", "members"))).alias("rows")).select("i", "j", "blocks", "rows").mapInArrow(_verify(threshold), "sk binary, links long, label binary, other binary"))
+    checked = _exact(placed.select("sk", "label", "copies", "n"), members, threshold)
     linked = checked.where("label is not null").select(F.col("sk").alias("node"), "label")
     across = checked.where("other is not null").select(F.col("sk").alias("a"), F.col("other").alias("b"))
     if across.limit(1).count():

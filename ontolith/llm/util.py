@@ -17,9 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a temporary folder only where that is unset (tests)."""
+    """The cluster's spark.checkpoint.dir; without it there is no folder that all machines see."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        # A session on one machine sees its own folders; a cluster's executors don't see the driver's.
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="ontolith-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -43,6 +46,12 @@ def release(*frames: DataFrame) -> None:
             p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with columns in0, in1, ... and these names by the old ones, so that no name inside an operator clashes."""
+    names = {c: f"in{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
 def with_rid(docs: DataFrame) -> DataFrame:
     """Adds a row identity that is the same each time the rows are read.
 

@@ -62,9 +62,12 @@ def test_empty(none):
     assert N.join(none).count() == 0
 
 
-def test_hot_groups_and_passages(spark, monkeypatch):
+@pytest.mark.parametrize(("group", "depth"), [(2048, 8), (8, 3)])
+def test_hot_groups_and_passages(spark, monkeypatch, group, depth):
     """Small buckets and blocks, so that every way for large groups is taken."""
     monkeypatch.setattr(N, "BUCKET", 8)
+    monkeypatch.setattr(N, "GROUP", group)
+    monkeypatch.setattr(N, "DEPTH", depth)
     monkeypatch.setattr(N, "BLOCK", 16)
     rng = random.Random(2)
     passage = [f"p{i}" for i in range(30)]
@@ -110,3 +113,40 @@ def test_thin_keeps_columns(odd):
     out = N.thin(odd)
     assert out.columns == odd.columns and RID not in out.columns
     assert out.where("doc_id in (1, 2)").count() == 1
+
+
+def pairs_of(rng, n, extra):
+    """n pairs of word lists whose shingle sets are 0.80 to 0.85 alike."""
+    out = []
+    while len(out) < n:
+        one = [f"v{rng.randrange(10**6)}" for _ in range(rng.randrange(60, 200))] + extra
+        two = list(one)
+        for _ in range(rng.randrange(1, 9)):
+            two[rng.randrange(len(two))] = f"e{rng.randrange(10**6)}"
+        a, b = shingles(" ".join(one)), shingles(" ".join(two))
+        if 0.8 <= len(a & b) / len(a | b) <= 0.85:
+            out.append((one, two))
+    return out
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_recall_at_the_threshold(spark, monkeypatch, small):
+    """Whole runs on pairs just over the threshold; with small buckets all of them are split again and again."""
+    rng = random.Random(11)
+    if small:
+        monkeypatch.setattr(N, "BUCKET", 8)
+        monkeypatch.setattr(N, "GROUP", 16)
+    passage = [f"p{i}" for i in range(40)] if small else []
+    pairs = pairs_of(rng, 300, passage)
+    rows = [(2 * i + j, " ".join(t)) for i, p in enumerate(pairs) for j, t in enumerate(p)]
+    got = {r["doc_id"]: r for r in N.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[2 * i + 1]["class_id"] == 2 * i and got[2 * i]["n_links"] == 1 for i in range(300)) >= 297
+
+
+def test_packed_blocks():
+    rng = np.random.default_rng(1)
+    base = np.unique(rng.integers(1, 2**63, 77, dtype=np.uint64))
+    sets = [np.unique(np.concatenate([base[rng.random(77) < 0.9], rng.integers(1, 2**63, k, dtype=np.uint64)])) for k in (0, 5, 1, 0)] + [base[:1], rng.integers(1, 2**63, 3, dtype=np.uint64)]
+    rows = [(bytes([i]) * 16, i + 1, np.sort(s)) for i, s in enumerate(sets)]
+    got = N.unpack_block(N.pack_block(rows))
+    assert [(k, c, s.tolist()) for k, c, s in got] == [(k, c, s.tolist()) for k, c, s in rows]
