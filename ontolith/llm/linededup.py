@@ -7,7 +7,9 @@ windows being merged. Windows without a word don't count.
 
 Defined cases: null and empty texts have no windows and stay as they are; null ids come last
 in the order; repeated rows are later occurrences of one another; an empty table gives an
-empty result; other columns pass through.
+empty result; other columns pass through, whatever their names, but that dedup() replaces
+__lines and __gone. A passage that repeats without three equal lines in a row is another
+operator's matter (README has figures).
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import RID, cut, with_rid
+from .util import RID, cut, numbered, release, with_rid
 
 WIDTH = 3
 
@@ -41,10 +43,12 @@ def later(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def _apply(width: int):
+    """Rows (lines there, lines gone, starts, ...) with `text` cut; positions say which column is which."""
+
     def run(batches):
         for b in batches:
-            at, k = b.schema.get_field_index("text"), b.schema.get_field_index("__starts")
-            texts, starts = b.column(at).to_pylist(), b.column(k).to_pylist()
+            at = b.schema.get_field_index("text")
+            texts, starts = b.column(at).to_pylist(), b.column(0).to_pylist()
             lines_in, gone_in, out = [], [], []
             for text, s in zip(texts, starts, strict=True):
                 lines = text.split("\n") if text else []
@@ -55,15 +59,31 @@ def _apply(width: int):
                 gone_in.append(int(cover.sum()))
                 out.append("\n".join(x for x, c in zip(lines, cover, strict=True) if not c) if gone_in[-1] else text)
             cols = list(b.columns)
-            cols[at], cols[k] = pa.array(out, b.column(at).type), pa.array(lines_in, pa.int64())
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(gone_in, pa.int64())], names=[*b.schema.names[:k], "__lines", *b.schema.names[k + 1 :], "__gone"])
+            cols[0], cols[at] = pa.array(lines_in, pa.int64()), pa.array(out, b.column(at).type)
+            yield pa.RecordBatch.from_arrays([cols[0], pa.array(gone_in, pa.int64()), *cols[1:]], names=["lines", "gone", *b.schema.names[1:]])
 
     return run
 
 
+def _cut_lines(docs: DataFrame, width: int) -> tuple[DataFrame, dict[str, str]]:
+    """Rows (lines, gone, text, in0, ...) and the numbered names; the text's own number is `text`."""
+    plain, names = numbered(docs)
+    names["text"], own = "text", names["text"]
+    number = names.get("doc_id")
+    known = with_rid(plain.withColumnRenamed(own, "text"))
+    keyed = known.select((F.col(number) if number else F.lit(None).cast("long")).alias("doc_id"), RID, "text")
+    joined = known.join(later(keyed, width), RID, "left").select("starts", *names.values())
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name != "starts")
+    return joined.mapInArrow(_apply(width), f"lines long, gone long, {fields}"), names
+
+
 def dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """docs with deduplicated text, plus __lines and __gone (lines before, lines removed)."""
-    known = with_rid(docs)
-    joined = known.join(later(known, width), RID, "left").select(*(F.col(c) for c in docs.columns), F.col("starts").alias("__starts"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return joined.mapInArrow(_apply(width), f"{fields}, __lines long, __gone long")
+    out, names = _cut_lines(docs, width)
+    return out.select(*(F.col(n).alias(c) for c, n in names.items() if c not in ("__lines", "__gone")), F.col("lines").alias("__lines"), F.col("gone").alias("__gone"))
+
+
+def tidy(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """docs with deduplicated text, without those of which no word is left."""
+    out, names = _cut_lines(docs, width)
+    return out.where((F.col("gone") == 0) | F.col("text").rlike(r"[^ \t-\r]")).select(*(F.col(n).alias(c) for c, n in names.items()))

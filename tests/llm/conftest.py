@@ -26,7 +26,13 @@ def odd_rows():
 
 @pytest.fixture(scope="session")
 def odd(spark, odd_rows):
-    return spark.createDataFrame(odd_rows, SCHEMA)
+    from pyspark.sql import functions as F
+
+    out = spark.createDataFrame(odd_rows, SCHEMA)
+    # Names that operators use inside.
+    for name in ("starts", "lines", "near", "__lines", "__gone", "__weight", "__folder", "sk", "label", "tokens", "weight"):
+        out = out.withColumn(name, F.lit("mine"))
+    return out
 
 
 @pytest.fixture(scope="session")

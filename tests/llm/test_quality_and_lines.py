@@ -42,6 +42,43 @@ def test_forest_isolates_outliers():
     assert s.argmax() == 500 and 0 < s.min() and s.max() < 1
 
 
+def test_path_lengths_against_plain():
+    """A forest's scores are those of walking each row down each tree."""
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    x = rng.normal(0, 1, (200, 3))
+    f = Q.fit(x, trees=16, rows=64)
+
+    def c(n):
+        return 0.0 if n < 2 else 2 * (np.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n
+
+    def walk(row, k):
+        node = 0
+        while f.feature[k, node] >= 0:
+            node = 2 * node + (2 if row[f.feature[k, node]] >= f.split[k, node] else 1)
+        return f.length[k, node]
+
+    want = [2 ** (-np.mean([walk(row, k) for k in range(16)]) / c(64)) for row in x]
+    assert np.allclose(f.score(x), want)
+
+
+def test_threshold_against_plain(spark, sf):
+    """The threshold keeps the asked share of good labelled rows, and no other bin gains more."""
+    import numpy as np
+
+    docs, labels = spark.read.parquet(f"{sf}/../sf0.01/documents.parquet"), spark.read.parquet(f"{sf}/../sf0.01/labels.parquet")
+    got = Q.verdicts(docs, labels).join(labels.where("quality is not null").groupBy("doc_id").agg({"quality": "max"}).withColumnRenamed("max(quality)", "quality"), "doc_id").where("not base_failed").toPandas()
+    t, good = got["threshold"].iloc[0], got["quality"] == 1
+    assert (got["kept"] == (got["anomaly"] < t)).all()
+
+    def gain(x):
+        gone = np.floor(got["anomaly"] * Q.BINS) >= round(x * Q.BINS)
+        return (gone & ~good).sum() - (gone & good).sum() if (gone & good).sum() <= (1 - Q.KEEP_GOOD) * good.sum() else -1
+
+    assert gain(t) == max(gain(k / Q.BINS) for k in range(Q.BINS + 1))
+
+
 def test_verdicts_on_odd_rows(odd, odd_rows, none, marks):
     got = Q.verdicts(odd, marks).collect()
     assert len(got) == len(odd_rows)
@@ -85,4 +122,6 @@ def test_line_dedup(spark, odd, odd_rows, none):
     got = L.dedup(spark.createDataFrame(single, "doc_id long, text string")).collect()
     assert sorted(((r["doc_id"], r["text"], r["__gone"]) for r in got), key=str) == brute_lines(single)
     assert L.dedup(none).count() == 0
-    assert L.dedup(odd).columns[:-2] == odd.columns
+    assert L.dedup(odd).columns == [*(c for c in odd.columns if c not in ("__lines", "__gone")), "__lines", "__gone"]
+    tidy = L.tidy(odd)
+    assert tidy.columns == odd.columns and {r["starts"] for r in tidy.collect()} == {"mine"}
