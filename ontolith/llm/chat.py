@@ -13,8 +13,10 @@ assistant turns.
 
 Defined cases: null roles and texts are empty; rows with a null conv_id form a conversation
 of that id; turns are ordered by turn (null first), then role and text, so repeated rows are
-turns one after another; a parent that isn't there makes a root; messages on a cycle have
-no root and are left out; of rows with one msg_id the least counts; an empty table gives an empty result; other columns are not read.
+turns one after another; a parent that isn't there makes a root; messages on or below a cycle have
+no root and are left out; of rows with one msg_id the least counts; of paths with equal score and
+length the least leaf is first; very long texts are whole (a conversation is one row); an empty
+table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -64,42 +66,57 @@ def parse(formatted: str) -> list[tuple[str, str]]:
 
 
 def paths(messages: DataFrame) -> DataFrame:
-    """(conv_id, leaf, msg_id, up): every leaf with itself and its ancestors, `up` steps above it; from rooted trees only."""
+    """(conv_id, leaf, msg_id, up): every leaf with itself and its ancestors, `up` steps above it; from rooted trees only.
+
+    Messages on or below a cycle are found first, by jumps alone (one row a message and round) that
+    haven't ended after as many steps as the largest conversation has messages.
+    """
     same = F.col("m.conv_id").eqNullSafe(F.col("x.conv_id"))
     m = cut(messages.select("conv_id", "msg_id", "parent_id"))
     present = m.select("conv_id", "msg_id").alias("x")
     links = cut(m.alias("m").join(present, same & (F.col("m.parent_id") == F.col("x.msg_id")), "left").select("m.conv_id", "m.msg_id", F.col("x.msg_id").alias("anc")))
+    most = m.groupBy("conv_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    jumps, step = [cut(links.where("anc is not null"))], 1
+    while step < most:
+        jump = jumps[-1]
+        far = cut(jump.alias("m").join(jump.alias("x"), same & (F.col("m.anc") == F.col("x.msg_id"))).select("m.conv_id", "m.msg_id", "x.anc"))
+        jumps, step = [*jumps, far], step * 2
+        if not far.limit(1).count():
+            break
+    # What still sees further after that many steps never ends.
+    rooted = cut(links.alias("m").join(jumps[-1].alias("x"), same & (F.col("m.msg_id") == F.col("x.msg_id")), "left_anti"))
     inner = links.where("anc is not null").select("conv_id", F.col("anc").alias("msg_id")).distinct().alias("x")
-    leaves = links.alias("m").join(inner, same & (F.col("m.msg_id") == F.col("x.msg_id")), "left_anti").select("m.conv_id", "m.msg_id")
+    leaves = rooted.alias("m").join(inner, same & (F.col("m.msg_id") == F.col("x.msg_id")), "left_anti").select("m.conv_id", "m.msg_id")
     found = cut(leaves.select("conv_id", F.col("msg_id").alias("leaf"), "msg_id", F.lit(0).cast("long").alias("up")))
-    jump, step = links, 1
-    for _ in range(max(1, m.count()).bit_length() + 1):
-        # Everyone known at distance u now also knows who is at u + step.
-        more = found.alias("m").join(jump.alias("x"), same & (F.col("m.msg_id") == F.col("x.msg_id"))).where("x.anc is not null").select("m.conv_id", "m.leaf", F.col("x.anc").alias("msg_id"), (F.col("m.up") + step).alias("up"))
+    for k, jump in enumerate(jumps):
+        # Everyone known at distance u now also knows who is at u + 2 ** k.
+        more = found.alias("m").join(jump.alias("x"), same & (F.col("m.msg_id") == F.col("x.msg_id"))).select("m.conv_id", "m.leaf", F.col("x.anc").alias("msg_id"), (F.col("m.up") + (1 << k)).alias("up"))
         grown = cut(found.unionByName(more))
-        release(found)
+        release(found, jump)
         found = grown
-        far = cut(jump.alias("m").join(jump.alias("x"), same & (F.col("m.anc") == F.col("x.msg_id"))).where("x.anc is not null").select("m.conv_id", "m.msg_id", "x.anc"))
-        release(jump)
-        jump, step = far, step * 2
-        if not far.limit(1).count():
-            return found
-    # Only chains that end in a cycle still see further.
-    return found.alias("m").join(jump.alias("x"), same & (F.col("m.leaf") == F.col("x.msg_id")), "left_anti")
+    release(m, links, rooted)
+    return found
 
 
 def branches(messages: DataFrame, keep: int | None = 1) -> DataFrame:
-    """messages (conv_id, msg_id, parent_id, role, text, score): one row per chosen path with its turns in order."""
+    """messages (conv_id, msg_id, parent_id, role, text, score): one row per chosen path with its turns in order.
+
+    Paths are ranked by their mean score, then length, then the least leaf; texts of others don't move.
+    """
     one = F.min(F.struct("parent_id", "role", "text", "score")).alias("v")
     messages = cut(messages.groupBy("conv_id", "msg_id").agg(one).select("conv_id", "msg_id", "v.*"))
+    same = F.col("m.conv_id").eqNullSafe(F.col("x.conv_id")) & (F.col("m.msg_id") == F.col("x.msg_id"))
     p = paths(messages)
-    full = p.alias("x").join(messages.alias("m"), F.col("m.conv_id").eqNullSafe(F.col("x.conv_id")) & (F.col("m.msg_id") == F.col("x.msg_id")))
-    whole = full.groupBy("x.conv_id", "x.leaf").agg(
-        F.avg(F.coalesce(F.col("m.score"), F.lit(0.0))).alias("score"),
-        F.sort_array(F.collect_list(F.struct((-F.col("x.up")).alias("place"), F.coalesce("m.role", F.lit("")).alias("role"), F.coalesce("m.text", F.lit("")).alias("text")))).alias("turns"),
-    )
-    whole = whole.withColumn("rank", F.row_number().over(W.partitionBy("conv_id").orderBy(F.desc("score"), F.desc(F.size("turns")), "leaf")))
-    return whole.where(F.col("rank") <= keep) if keep else whole
+    ranked = p.alias("x").join(messages.select("conv_id", "msg_id", "score").alias("m"), same).groupBy("x.conv_id", "x.leaf").agg(F.avg(F.coalesce(F.col("m.score"), F.lit(0.0))).alias("score"), F.count("*").alias("n"))
+    order = F.struct((-F.col("score")).alias("s"), (-F.col("n")).alias("n"), "leaf", "score")
+    if keep == 1:
+        chosen = ranked.groupBy("conv_id").agg(F.min(order).alias("b")).select("conv_id", "b.leaf", "b.score", F.lit(1).alias("rank"))
+    else:
+        chosen = ranked.withColumn("rank", F.row_number().over(W.partitionBy("conv_id").orderBy(order))).select("conv_id", "leaf", "score", "rank")
+        chosen = chosen.where(F.col("rank") <= keep) if keep else chosen
+    kept = p.alias("x").join(chosen.alias("c"), F.col("x.conv_id").eqNullSafe(F.col("c.conv_id")) & (F.col("x.leaf") == F.col("c.leaf"))).select("x.conv_id", "x.leaf", "x.msg_id", "x.up", "c.score", "c.rank")
+    turn = F.struct((-F.col("x.up")).alias("place"), F.coalesce("m.role", F.lit("")).alias("role"), F.coalesce("m.text", F.lit("")).alias("text"))
+    return kept.alias("x").join(messages.alias("m"), same).groupBy("x.conv_id", "x.leaf", "x.rank").agg(F.first("x.score").alias("score"), F.sort_array(F.collect_list(turn)).alias("turns"))
 
 
 def as_messages(turns: DataFrame) -> DataFrame:
