@@ -7,8 +7,10 @@ doubling, the Burrows-Wheeler text in a wavelet matrix, and every STEP-th text p
 sample. Windows are searched backwards through wavelet ranks, all at once; the rows found
 walk to a sampled position, and covered words are merged into spans.
 
-A benchmark is sent to the executors in blocks of at most BLOCK_WINDOWS windows, one after
-another for each shard, so what a task holds of it is bounded.
+Windows of the benchmark are a table (window, items that have it), made and reduced on the executors
+and packed into blocks of about BLOCK_WINDOWS windows. Blocks pass the driver one at a time and are
+broadcast as bytes; a task opens one, searches its shard for it and drops it, so it holds one shard
+and one block of the benchmark, however many there are.
 
 Defined cases: null, empty and wordless texts have no words and no hits; items without words
 or without an id are no items; repeated items count once by their id; repeated rows each get
@@ -26,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as X
+from .util import cut, release
 
 WINDOW = 8
 SHARD_WORDS = 1_000_000
@@ -175,23 +178,64 @@ class FMIndex:
         return which, text, at - self.text_start[text]
 
 
-def item_windows(items: list[tuple[int, str]], window: int = WINDOW):
-    """Distinct windows: right-aligned hashes, sizes, and the items of each (as a flat list with bounds)."""
-    t = X.flat(pa.array([x for _, x in items], pa.string()))
-    w = X.split(t, X.ALNUM, lower=True)
-    h = X.word_hashes(t, w, lower=True)
-    found: dict[tuple, set] = {}
-    for i, (name, _) in enumerate(items):
-        own = h[w.first[i] : w.first[i + 1]].tolist()
-        for j in range(max(len(own) - window, 0) + 1 if own else 0):
-            found.setdefault(tuple(own[j : j + window]), set()).add(name)
-    grams = np.zeros((len(found), window), np.uint64)
-    sizes = np.array([len(g) for g in found], np.int64)
-    for r, g in enumerate(found):
-        grams[r, window - len(g) :] = g
-    owners = [sorted(v) for v in found.values()]
+def _item_windows(window: int):
+    """Rows (item_id, text) to each item's distinct windows (key, item_id); a key is the hashes of its words."""
+
+    def run(batches):
+        for b in batches:
+            for s, e in X.slices(b.column(1)):
+                t = X.flat(b.column(1).slice(s, e - s))
+                w = X.split(t, X.ALNUM, lower=True)
+                h = X.word_hashes(t, w, lower=True)
+                names, keys, owners = b.column(0).slice(s, e - s).to_pylist(), [], []
+                for i, name in enumerate(names):
+                    own = h[w.first[i] : w.first[i + 1]]
+                    found = {own[j : j + window].tobytes() for j in range(max(len(own) - window, 0) + 1)} if len(own) else ()
+                    keys += found
+                    owners += [name] * len(found)
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(owners, pa.int64())], names=["key", "item_id"])
+
+    return run
+
+
+def pack_windows(keys: list[bytes], owners: list[list[int]], window: int) -> bytes:
+    """Windows in one blob: right-aligned hashes, sizes, and the items of each as a flat list with bounds."""
+    sizes = np.array([len(k) // 8 for k in keys], np.int64)
+    grams = np.zeros((len(keys), window), np.uint64)
+    for r, k in enumerate(keys):
+        grams[r, window - sizes[r] :] = np.frombuffer(k, np.uint64)
     bounds = np.concatenate([[0], np.cumsum([len(v) for v in owners])]).astype(np.int64)
-    return grams, sizes, np.array([x for v in owners for x in v], np.int64), bounds
+    blob = b"".join([np.array([len(keys), window, bounds[-1]], np.int64).tobytes(), grams.tobytes(), sizes.tobytes(), bounds.tobytes(), np.array([x for v in owners for x in v], np.int64).tobytes()])
+    return len(blob).to_bytes(8, "little") + pa.compress(blob, "zstd", asbytes=True)
+
+
+def unpack_windows(data: bytes):
+    blob = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
+    n, window, m = (int(x) for x in np.frombuffer(blob, np.int64, 3))
+    at = [24]
+
+    def take(kind, count):
+        out = np.frombuffer(blob, kind, count, at[0])
+        at[0] += 8 * count
+        return out
+
+    grams, sizes, bounds = take(np.uint64, n * window).reshape(n, window), take(np.int64, n), take(np.int64, n + 1)
+    return grams, sizes, take(np.int64, m), bounds
+
+
+def _packed_windows(window: int):
+    def run(part: pa.Table) -> pa.Table:
+        return pa.table({"data": pa.array([pack_windows(part.column("key").to_pylist(), part.column("items").to_pylist(), window)], pa.binary())})
+
+    return run
+
+
+def _open(blocks: list):
+    """The blocks one after another; of several, none stays in the worker."""
+    for b in blocks:
+        yield unpack_windows(b.value)
+        if len(blocks) > 1:
+            vars(b).pop("_value", None)
 
 
 def _covered(hashes, first, blocks):
@@ -202,7 +246,7 @@ def _covered(hashes, first, blocks):
         return np.zeros(len(hashes), bool), np.zeros(len(hashes), bool), items
     index = FMIndex(hashes, first)
     cover, full = np.zeros(len(hashes) + 1, np.int64), np.zeros(len(hashes) + 1, np.int64)
-    for grams, sizes, owners, bounds in (b.value for b in blocks):
+    for grams, sizes, owners, bounds in _open(blocks):
         which, text, at = index.find(grams, sizes)
         start = first[text] + at
         end, whole = start + sizes[which], sizes[which] == grams.shape[1]
@@ -261,18 +305,14 @@ def spans_of(cover: np.ndarray) -> list[tuple[int, int]]:
 
 
 def blocks_of(benchmark: DataFrame, window: int = WINDOW, most: int = BLOCK_WINDOWS):
-    """Broadcasts of at most about so many windows each."""
+    """Broadcasts of about so many distinct windows each; each window with all its items."""
     sc = benchmark.sparkSession.sparkContext
-    rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id is not null and length(text) > 0")
-    out, held, windows = [], [], 0
-    for name, text in rows.toLocalIterator():
-        held.append((name, text))
-        windows += text.count(" ") + 1
-        if windows >= most:
-            out.append(sc.broadcast(item_windows(held, window)))
-            held, windows = [], 0
-    if held:
-        out.append(sc.broadcast(item_windows(held, window)))
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and length(text) > 0")
+    found = cut(rows.mapInArrow(_item_windows(window), "key binary, item_id long").groupBy("key").agg(F.sort_array(F.collect_set("item_id")).alias("items")))
+    parts = -(-found.count() // most)
+    packed = cut(found.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(max(parts, 1)))).groupBy("block").applyInArrow(_packed_windows(window), "data binary"))
+    out = [sc.broadcast(bytes(r["data"])) for r in packed.toLocalIterator()]
+    release(found, packed)
     return out
 
 

@@ -86,5 +86,17 @@ def test_odd_rows_and_empty_tables(spark, odd, odd_rows, none):
     assert D.scan(none, bench).count() == 0
 
 
+def test_many_blocks_and_odd_rows(spark, odd, odd_rows, monkeypatch):
+    """A benchmark in blocks of a few windows finds what one block does, on odd rows too."""
+    base, lines = odd_rows[0][1], odd_rows[8][1]
+    items = [(1, base), (1, base), (2, lines), (3, "one"), (4, None), (None, base), (5, ""), (6, "\n".join(base.split()[20:40])), (7, odd_rows[11][1])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    blocks = D.blocks_of
+    monkeypatch.setattr(D, "blocks_of", lambda b, window: blocks(b, window, 7))
+    got = D.scan(odd, bench).collect()
+    want = brute([r[:2] for r in odd_rows], items)
+    assert sorted(((r["doc_id"], r["n_words"], r["n_hit"], tuple(r["item_ids"])) for r in got), key=str) == want
+
+
 def test_digest():
     assert D.digest({10, 9}) == hashlib.sha256(b"10,9").hexdigest()
