@@ -27,8 +27,12 @@ def op4_decontamination(spark, sf_dir):
     return found.select("doc_id", "n_words", "n_hit", n.alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (n >= decontam.CONTAMINATED).alias("contaminated"))
 
 
+#: Target marginals of the query and the pipeline; languages that aren't named keep what is left, sources and topics are tempered.
+TARGETS = {"lang": {"en": 0.45, "de": 0.2, "fr": 0.15, "es": 0.15}}
+
+
 def op5_mixing(spark, sf_dir):
-    out = mixing.assign(table(spark, sf_dir, "documents"))
+    out = mixing.assign(table(spark, sf_dir, "documents"), TARGETS, keep=["doc_id", "source", "lang"])
     return out.select("doc_id", "source", "lang", F.col("__topic").alias("topic"), F.col("__tokens").alias("n_tokens"), F.round("__weight", 9).alias("weight"), F.round("__p", 9).alias("probability"), F.col("__drawn").alias("drawn"))
 
 

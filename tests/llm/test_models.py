@@ -130,6 +130,57 @@ def test_toxicity_odd_rows(odd, odd_rows, none, marks):
     assert T.score(none, marks).count() == 0
 
 
+def small_model(rng):
+    m = T.Model(rng.normal(0, 0.3, (T.BUCKETS + 1, T.DIM)), [rng.normal(0, 0.3, (k, T.DIM, T.FILTERS)) for k in T.WIDTHS], [rng.normal(0, 0.1, T.FILTERS) for _ in T.WIDTHS], rng.normal(0, 0.5, T.FILTERS * len(T.WIDTHS)), 0.1, np.float64)
+    m.embedding[-1] = 0
+    return m
+
+
+TEXTS = ["one two three four", "", "a", "two words here and the other words there again", "x " * 30]
+
+
+def test_forward_pass_against_naive_convolution():
+    rng = np.random.default_rng(2)
+    m, b = small_model(rng), T.bags(pa.array(TEXTS))
+    bounds, got = [*b.start, b.ids.shape[1]], T.logits(m.tables(), m, b)
+    for i in range(len(TEXTS)):
+        # A word's vector is the sum of its buckets'; the padding is zero.
+        v = sum(m.embedding[r[bounds[i] : bounds[i + 1]]] for r in b.ids)
+        v = np.concatenate([v, np.zeros((max(T.WIDTHS), T.DIM))])
+        top = [max(sum(v[p + j] @ f[j, :, k] for j in range(len(f))) for p in range(bounds[i + 1] - bounds[i])) + beta[k] for f, beta in zip(m.filters, m.bias, strict=True) for k in range(T.FILTERS)]
+        assert np.isclose(got[i], np.tanh(top) @ m.dense + m.offset)
+
+
+def test_gradient_against_finite_differences():
+    rng = np.random.default_rng(4)
+    m, b, y = small_model(rng), T.bags(pa.array(TEXTS)), np.array([1, 0, 1, 0, 1])
+    weight = rng.uniform(0.1, 1, 5)
+    _, grads, g0 = T.gradients(m, b, y, weight)
+    params = [m.embedding, *m.filters, *m.bias, m.dense]
+    used = np.unique(b.ids[b.ids < T.BUCKETS])
+    for p, g in zip(params, grads, strict=True):
+        for _ in range(6):
+            at = (int(rng.choice(used)), int(rng.integers(T.DIM))) if p is m.embedding else tuple(int(rng.integers(n)) for n in p.shape)
+            held, slope = p[at], []
+            for d in (1e-6, -1e-6):
+                p[at] = held + d
+                slope.append(T.gradients(m, b, y, weight)[0])
+            p[at] = held
+            assert np.isclose((slope[0] - slope[1]) / 2e-6, g[at], atol=1e-6)
+    up, down = (T.gradients(T.Model(m.embedding, m.filters, m.bias, m.dense, m.offset + d, np.float64), b, y, weight)[0] for d in (1e-6, -1e-6))
+    assert np.isclose((up - down) / 2e-6, g0, atol=1e-6)
+
+
+def test_best_threshold():
+    rng = np.random.default_rng(9)
+    for _ in range(50):
+        z, y = rng.normal(0, 1, 30).round(1), rng.integers(0, 2, 30)
+        if not y.any():
+            continue
+        f1 = lambda t: 2 * ((z > t) & (y == 1)).sum() / max((z > t).sum() + y.sum(), 1)
+        assert np.isclose(f1(T.best_threshold(z, y)), max(f1(t) for t in [*z, z.min() - 1]))
+
+
 def test_rake_meets_marginals():
     rng = np.random.default_rng(0)
     keys = [rng.integers(0, n, 60) for n in (4, 3, 2)]
@@ -142,7 +193,8 @@ def test_rake_meets_marginals():
 def test_mixing_both_ways(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     targets = {"lang": {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}}
-    a, b = (B.assign(docs, targets, driver_cells=n).select("doc_id", "lang", "__weight", "__tokens", "__p", "__drawn").orderBy("doc_id").toPandas() for n in (B.DRIVER_CELLS, 3))
+    # A quarter of all tokens: half of them would take more of one language than there is.
+    a, b = (B.assign(docs, targets, share=0.25, driver_cells=n).select("doc_id", "lang", "__weight", "__tokens", "__p", "__drawn").orderBy("doc_id").toPandas() for n in (B.DRIVER_CELLS, 3))
     assert np.allclose(a["__weight"], b["__weight"], rtol=1e-3)
     share = (a["__weight"] * a["__tokens"]).groupby(a["lang"]).sum() / (a["__weight"] * a["__tokens"]).sum()
     assert np.allclose([share["en"], share["de"]], [0.4, 0.2], atol=1e-3)
@@ -166,6 +218,47 @@ def test_drawn_shares_meet_targets(spark):
         assert np.isclose(share["topic", "y"][0], 0.1) and np.isclose(share["topic", "y"][1], 4 / 502, atol=1e-4)
 
 
+def test_weights_and_draws_against_plain(spark):
+    """Raking, probabilities and draws by dictionaries, on cells without caps."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(["w"] * rng.randrange(1, 40)), rng.choice(["a", "b", None]), rng.choice(["en", "de"]), rng.choice("xyz")) for i in range(400)]
+    targets = {"lang": {"en": 0.5, "de": 0.5}, "source": {"a": 0.4}}
+    got = {r["doc_id"]: r for r in B.assign(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, topic string"), targets).collect()}
+    cells = {}
+    for _, t, *at in rows:
+        cells[tuple(at)] = cells.get(tuple(at), 0) + len(t.split())
+    total = sum(cells.values())
+    share = [{}, {}, {}]
+    for at, n in cells.items():
+        for d in range(3):
+            share[d][at[d]] = share[d].get(at[d], 0) + n / total
+    rest = sum(v for k, v in share[0].items() if k != "a")
+    tempered = {k: v**0.7 for k, v in share[2].items()}
+    goals = [{k: 0.4 if k == "a" else 0.6 * v / rest for k, v in share[0].items()}, targets["lang"], {k: v / sum(tempered.values()) for k, v in tempered.items()}]
+    w = {at: n / total for at, n in cells.items()}
+    for _ in range(500):
+        for d in range(3):
+            now = {}
+            for at, x in w.items():
+                now[at[d]] = now.get(at[d], 0) + x
+            w = {at: x * goals[d][at[d]] / now[at[d]] for at, x in w.items()}
+    for i, t, *at in rows:
+        want = w[tuple(at)] * total / cells[tuple(at)]
+        assert np.isclose(got[i]["__weight"], want, rtol=1e-6) and np.isclose(got[i]["__p"], want / 2, rtol=1e-6)
+    picked = B._assigned(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, topic string"), targets, B.SHARE, B.TEMPER, B.DRIVER_CELLS, ["doc_id"])[0].collect()
+    assert all(r["drawn"] == (r["chance"] < r["p"]) for r in picked) and all(0 <= r["chance"] < 1 for r in picked)
+    assert abs(np.mean([r["chance"] for r in picked]) - 0.5) < 0.1
+
+
+def test_topics_follow_words(spark):
+    """Texts of unlike word lists fall into unlike clusters, every text into one; wordless texts into none."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"{'abcd'[i % 4]}{rng.randrange(30)}" for _ in range(60))) for i in range(200)] + [(900, " ,, "), (901, None)]
+    got = {r["doc_id"]: r["__topic"] for r in B.assign(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'s' as source", "'en' as lang")).collect()}
+    groups = [{got[i] for i in range(200) if i % 4 == k} for k in range(4)]
+    assert got[900] == got[901] == "en:none" and all(not a & b for i, a in enumerate(groups) for b in groups[:i])
+
+
 def test_mixing_odd_rows(odd, odd_rows, none):
     got = B.assign(odd).collect()
     assert len(got) == len(odd_rows)
