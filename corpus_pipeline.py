@@ -10,10 +10,8 @@ such a document holds nothing more and goes.
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ontolith.llm import decontam, linededup, mixing, ngramjoin, quality
-from ontolith.llm.util import cut, table
+from ontolith.llm.util import cut, release, table
 
 
 def quality_rules(spark, docs, sf_dir):
@@ -21,8 +19,7 @@ def quality_rules(spark, docs, sf_dir):
 
 
 def line_dedup(spark, docs, sf_dir):
-    out = linededup.dedup(docs)
-    return out.where((F.col("__gone") == 0) | F.col("text").rlike(r"[^ \t-\r]")).select(*docs.columns)
+    return linededup.tidy(docs)
 
 
 def ngram_join(spark, docs, sf_dir):
@@ -49,7 +46,10 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir))
+        if last is not None:
+            release(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)
