@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..schema import term
 from ..plans.graph import connected_components, reachable
 
 PRESERVE, BIDIRECTIONAL, COMPONENT = "preserve", "bidirectional", "component"
@@ -75,31 +76,80 @@ def inverse_pairs(axioms: DataFrame) -> DataFrame:
     return axioms.where("tag = 73").select(F.when(swap, F.col("second")).otherwise(F.col("first")).alias("first"), F.when(swap, F.col("first")).otherwise(F.col("second")).alias("second")).distinct()
 
 
+def inverse(c: str) -> Column:
+    """The inverse role, written with a leading ~; of an inverse, the role."""
+    return F.when(F.col(c).startswith("~"), F.expr(f"substring({c}, 2)")).otherwise(F.concat(F.lit("~"), F.col(c)))
+
+
 def role_edges(axioms: DataFrame) -> DataFrame:
-    """(a, b): a is a sub-role of b; every edge has its mirror between inverses, written with a leading ~."""
-    inv = lambda c: F.when(F.col(c).startswith("~"), F.substring(F.col(c), 2, 1 << 20)).otherwise(F.concat(F.lit("~"), F.col(c)))
+    """(a, b): a is a sub-role of b; every edge has its mirror between inverses."""
     rows = axioms.where("chain = ''")
     sub = rows.where("tag = 70").select(F.col("first").alias("a"), F.col("second").alias("b"))
     same = rows.where("tag = 71")
     both = same.select(F.col("first").alias("a"), F.col("second").alias("b")).unionByName(same.select(F.col("second").alias("a"), F.col("first").alias("b")))
     pair = rows.where("tag = 73")
-    to_inverse = pair.select(F.col("first").alias("a"), F.concat(F.lit("~"), "second").alias("b")).unionByName(pair.select(F.col("second").alias("a"), F.concat(F.lit("~"), "first").alias("b")))
-    mirror = rows.where("tag = 80").select(F.col("first").alias("a"), F.concat(F.lit("~"), "first").alias("b"))
+    to_inverse = pair.select(F.col("first").alias("a"), inverse("second").alias("b")).unionByName(pair.select(F.col("second").alias("a"), inverse("first").alias("b")))
+    mirror = rows.where("tag = 80").select(F.col("first").alias("a"), inverse("first").alias("b"))
     edges = sub.unionByName(both).unionByName(to_inverse).unionByName(mirror)
-    return edges.unionByName(edges.select(inv("a").alias("a"), inv("b").alias("b"))).distinct()
+    return edges.unionByName(edges.select(inverse("a").alias("a"), inverse("b").alias("b"))).distinct()
+
+
+def composite_roles(axioms: DataFrame) -> DataFrame:
+    """Seeds (node): top and bottom roles, transitive roles and chain supers, with their inverses."""
+    ends = axioms.where("tag = 82").select(F.col("first").alias("node")).unionByName(axioms.where("tag = 70 and chain <> ''").select(F.col("second").alias("node")))
+    fixed = axioms.sparkSession.createDataFrame([(term("owl:topObjectProperty"),), (term("owl:bottomObjectProperty"),)], "node string")
+    seeds = ends.unionByName(fixed)
+    return seeds.unionByName(seeds.select(inverse("node").alias("node"))).distinct()
 
 
 def non_simple(axioms: DataFrame) -> DataFrame:
-    """Roles reachable upwards from transitive roles, chain supers and the top and bottom roles, with inverses."""
-    seeds = axioms.where("tag = 82").select(F.col("first").alias("node")).unionByName(axioms.where("tag = 70 and chain <> ''").select(F.col("second").alias("node")))
-    seeds = seeds.unionByName(seeds.select(F.concat(F.lit("~"), "node").alias("node"))).distinct()
-    return reachable(role_edges(axioms), seeds).select(F.col("node").alias("role")).distinct()
+    """Roles reachable upwards from composite ones."""
+    return reachable(role_edges(axioms), composite_roles(axioms)).select(F.col("node").alias("role")).distinct()
+
+
+#: Axioms and expressions that need a simple role where they name one: characteristics, disjointness, keys, self, cardinalities.
+SIMPLE_TAGS = (37, 38, 39, 40, 72, 76, 77, 79, 81, 101)
+
+
+def simple_positions(axioms: DataFrame, occurrence: DataFrame | None = None) -> DataFrame:
+    """(root_id, tag, role): places that need a simple role, of flat axioms or, where paths are known, of all occurrences."""
+    if occurrence is not None and "path" in occurrence.columns:
+        last = F.regexp_extract("path", r"(?:^|/)(\d+)\.\d+(?:\.\d+)?(?:/10\.0)?$", 1).cast("int")
+        turned = F.col("path").rlike(r"(^|/)10\.0$")
+        rows = occurrence.where("entity_kind = 'object_property'").where(last.isin(*SIMPLE_TAGS))
+        return rows.select("root_id", last.alias("tag"), F.when(turned, inverse("iri")).otherwise(F.col("iri")).alias("role"))
+    needs = axioms.where(F.col("tag").isin(*SIMPLE_TAGS))
+    ends = F.when(F.col("tag") == 72, F.array("first", "second")).otherwise(F.array("first"))
+    return needs.select("root_id", "tag", F.explode(ends).alias("role"))
+
+
+def simple_violations(axioms: DataFrame, occurrence: DataFrame | None = None) -> DataFrame:
+    """Places that need a simple role over one that isn't, one row a place."""
+    return simple_positions(axioms, occurrence).join(non_simple(axioms), "role", "left_semi").select("root_id", "tag", "role")
+
+
+def property_components(axioms: DataFrame) -> DataFrame:
+    """(node, component) of object and data properties that equivalence axioms hold together."""
+    return connected_components(axioms.where("tag in (71, 91)").select(F.col("first").alias("a"), F.col("second").alias("b")))
+
+
+def property_parents(axioms: DataFrame, nodes: DataFrame) -> DataFrame:
+    return parents(property_edges(axioms), nodes)
+
+
+def property_children(axioms: DataFrame, nodes: DataFrame) -> DataFrame:
+    return children(property_edges(axioms), nodes)
+
+
+def property_equivalents(axioms: DataFrame) -> DataFrame:
+    """(property, other) both ways for each pair of an equivalence axiom."""
+    rows = axioms.where("tag in (71, 91)").where("first <> second")
+    return rows.select(F.col("first").alias("property"), F.col("second").alias("other")).unionByName(rows.select(F.col("second").alias("property"), F.col("first").alias("other"))).distinct()
 
 
-def simple_violations(axioms: DataFrame) -> DataFrame:
-    """Axioms that need a simple role (functional 76, inverse functional 77, irreflexive 79, asymmetric 81, disjoint 72) over one that isn't."""
-    needs = axioms.where("tag in (72, 76, 77, 79, 81)")
-    return needs.join(non_simple(axioms).withColumnRenamed("role", "first"), "first", "left_semi").select("root_id", "tag", F.col("first").alias("role"))
+def edge_order() -> tuple[Column, ...]:
+    """Child, then parent, shorter IRIs first, as canonical bytes sort."""
+    return F.length("child"), F.col("child"), F.length("parent"), F.col("parent")
 
 
 def domain_ranges(records: DataFrame, record_kind: str | None = None, named_only: bool = False) -> DataFrame:

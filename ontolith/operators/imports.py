@@ -5,7 +5,6 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..plans.graph import reachable, settle
@@ -100,7 +99,19 @@ def resolve_first(*outcomes: DataFrame) -> DataFrame:
 
 
 def depth_spans(spans: DataFrame) -> DataFrame:
-    """Most spans (start, end) open at once: a sweep over their ends, ranges of positions first summed apart."""
+    """Most spans (start, end) open at once: a sweep over their ends, by ranges of positions."""
+    from .algebra import running
+
     points = spans.select(F.col("start").alias("at"), F.lit(1).alias("d")).unionByName(spans.select(F.col("end").alias("at"), F.lit(-1).alias("d")))
     steps = points.groupBy("at").agg(F.sum("d").alias("d"))
-    return steps.withColumn("open", F.sum("d").over(W.orderBy("at"))).agg(F.max("open").alias("most"))
+    return running(steps, "d", F.col("at")).agg(F.max(F.col("before") + F.col("d")).alias("most"))
+
+
+def edge_order() -> tuple:
+    """Manifest order of import edges."""
+    return F.col("importing"), F.col("imported"), F.col("status")
+
+
+def totals(documents: DataFrame, by: str) -> DataFrame:
+    """Load report: documents, bytes and failures by one column."""
+    return documents.groupBy(by).agg(F.count("*").alias("documents"), F.sum("byte_length").alias("bytes"), F.count_if(F.col("error").isNotNull()).alias("failed"))

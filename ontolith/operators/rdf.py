@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.graph import connected_components, list_items
+from ..schema import NAMESPACES, term
 
 #: Predicates that a mapping rule consumes.
-SIMPLE_RULES = {"rdfs:subClassOf": 61, "rdf:type": 60, "owl:inverseOf": 73, "rdfs:domain": 74, "rdfs:range": 75, "rdfs:subPropertyOf": 70}
+SIMPLE_RULES = {term(p): t for p, t in {"rdfs:subClassOf": 61, "rdf:type": 60, "owl:inverseOf": 73, "rdfs:domain": 74, "rdfs:range": 75, "rdfs:subPropertyOf": 70}.items()}
 
 
 def find(triples: DataFrame, s: str | None = None, p: str | None = None, o: str | None = None) -> DataFrame:
@@ -20,6 +21,10 @@ def find(triples: DataFrame, s: str | None = None, p: str | None = None, o: str
     return out
 
 
+def in_order(triples: DataFrame) -> DataFrame:
+    return triples.orderBy("s", "p", "o")
+
+
 def one(triples: DataFrame, p: str) -> DataFrame:
     """(s, o) of a functional predicate; a subject with several objects is flagged."""
     return triples.where(F.col("p") == p).groupBy("s").agg(F.min("o").alias("o"), (F.countDistinct("o") > 1).alias("ambiguous"))
@@ -35,7 +40,8 @@ def lists(cells: DataFrame) -> DataFrame:
 
 def entity_kinds(triples: DataFrame) -> DataFrame:
     """Declared kinds from rdf:type triples."""
-    return triples.where("p = 'rdf:type' and o like 'owl:%'").select(F.col("s").alias("iri"), F.expr("substring(o, 5)").alias("kind")).distinct()
+    owl = NAMESPACES["owl"]
+    return triples.where((F.col("p") == term("rdf:type")) & F.col("o").startswith(owl)).select(F.col("s").alias("iri"), F.expr(f"substring(o, {len(owl) + 1})").alias("kind")).distinct()
 
 
 def property_uses(triples: DataFrame, kinds: DataFrame) -> DataFrame:
@@ -53,7 +59,7 @@ def simple_axioms(triples: DataFrame) -> DataFrame:
     return triples.withColumn("tag", tag).where("tag is not null").select("tag", "s", "o")
 
 
-def merged_equivalences(triples: DataFrame, predicate: str = "owl:equivalentClass") -> DataFrame:
+def merged_equivalences(triples: DataFrame, predicate: str = term("owl:equivalentClass")) -> DataFrame:
     """Edges of one predicate collapse into one axiom a component: (component, member)."""
     edges = triples.where(F.col("p") == predicate).select(F.col("s").alias("a"), F.col("o").alias("b"))
     return connected_components(edges).select("component", F.col("node").alias("member"))
@@ -62,8 +68,8 @@ def merged_equivalences(triples: DataFrame, predicate: str = "owl:equivalentClas
 def reified(triples: DataFrame) -> DataFrame:
     """owl:Axiom nodes with their main triple; present tells whether that triple is there."""
     part = lambda p, name: triples.where(F.col("p") == p).select(F.col("s").alias("node"), F.col("o").alias(name))
-    nodes = triples.where("p = 'rdf:type' and o = 'owl:Axiom'").select(F.col("s").alias("node"))
-    found = nodes.join(part("owl:annotatedSource", "s"), "node").join(part("owl:annotatedProperty", "p"), "node").join(part("owl:annotatedTarget", "o"), "node")
+    nodes = triples.where((F.col("p") == term("rdf:type")) & (F.col("o") == term("owl:Axiom"))).select(F.col("s").alias("node"))
+    found = nodes.join(part(term("owl:annotatedSource"), "s"), "node").join(part(term("owl:annotatedProperty"), "p"), "node").join(part(term("owl:annotatedTarget"), "o"), "node")
     return found.join(triples.select("s", "p", "o").distinct().withColumn("there", F.lit(True)), ["s", "p", "o"], "left").select("node", "s", "p", "o", F.coalesce("there", F.lit(False)).alias("present"))
 
 

@@ -7,16 +7,20 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.lexical import language_matches
-from ..schema import ENTITY_KINDS, constructors
+from ..schema import ENTITY_KINDS, constructors, term
 
 # Entities that need no declaration, by kind.
 BUILTINS = {
     "class": ("owl:Thing", "owl:Nothing"),
-    "datatype": ("rdfs:Literal", "rdf:PlainLiteral", "xsd:string", "xsd:boolean", "xsd:decimal", "xsd:integer", "xsd:double", "xsd:float", "xsd:dateTime", "xsd:anyURI"),
+    "datatype": (
+        "rdfs:Literal", "rdf:PlainLiteral", "rdf:XMLLiteral",
+        *(f"xsd:{n}" for n in "anyURI base64Binary boolean byte dateTime dateTimeStamp decimal double float hexBinary int integer language long Name NCName negativeInteger NMTOKEN nonNegativeInteger nonPositiveInteger normalizedString positiveInteger short string token unsignedByte unsignedInt unsignedLong unsignedShort".split()),
+    ),
     "object_property": ("owl:topObjectProperty", "owl:bottomObjectProperty"),
     "data_property": ("owl:topDataProperty", "owl:bottomDataProperty"),
     "annotation_property": ("rdfs:label", "rdfs:comment", "rdfs:seeAlso", "rdfs:isDefinedBy", "owl:deprecated", "owl:versionInfo", "owl:priorVersion", "owl:backwardCompatibleWith", "owl:incompatibleWith"),
-}
+}
+LABEL = term("rdfs:label")
 
 
 # Axiom types
@@ -33,6 +37,32 @@ def category_counts(root: DataFrame) -> DataFrame:
     return root.where("root_kind = 'axiom'").groupBy("tag").agg(F.count("*").alias("n")).join(spec, "tag").groupBy("category").agg(F.sum("n").alias("n"))
 
 
+def category_rollup(root: DataFrame) -> DataFrame:
+    """(category, name, n): by type, by category (name null) and of all (both null)."""
+    spec = F.broadcast(constructors(root.sparkSession))
+    counts = root.where("root_kind = 'axiom'").groupBy("tag").agg(F.count("*").alias("n")).join(spec, "tag")
+    return counts.rollup("category", "name").agg(F.sum("n").alias("n"))
+
+
+def ontology_annotations(root: DataFrame, document_key: str | None = None) -> DataFrame:
+    """Roots that annotate an ontology as a whole."""
+    out = root.where("root_kind = 'ontology_annotation'")
+    return out.where(F.col("document_key") == document_key) if document_key is not None else out
+
+
+def extensions(root: DataFrame, namespace: str | None = None) -> DataFrame:
+    """Extension roots (SWRL rules); any other namespace has none."""
+    out = root.where("root_kind = 'extension'")
+    return out if namespace in (None, "swrl") else out.where(F.lit(False))
+
+
+def in_document(root: DataFrame, document: DataFrame, document_key: str) -> DataFrame:
+    """Roots of one document; a key that isn't there is a KeyError."""
+    if not document.where(F.col("document_key") == document_key).limit(1).count():
+        raise KeyError(document_key)
+    return root.where(F.col("document_key") == document_key)
+
+
 def axioms(root: DataFrame, tag: int | None = None, document_key: str | None = None) -> DataFrame:
     """Exact type and document filters; both reach the scans."""
     out = root.where("root_kind = 'axiom'")
@@ -53,22 +83,43 @@ def is_builtin(kind: Column, iri: Column) -> Column:
     """Kind and IRI must both match."""
     out = F.lit(False)
     for k, names in BUILTINS.items():
-        out = out | ((kind == k) & iri.isin(*names))
+        out = out | ((kind == k) & iri.isin(*map(term, names)))
     return out
 
 
-def signature(occurrence: DataFrame, include_builtins: bool = True, include_annotations: bool = True) -> DataFrame:
-    """(entity_kind, iri, n_roots, n_roots_plain, n_declarations): counts are of roots, not of places."""
-    rows = occurrence
+def _entities(occurrence: DataFrame, include_builtins: bool, include_annotations: bool) -> DataFrame:
+    rows = occurrence.where("entity_kind is not null")
     if not include_builtins:
         rows = rows.where(~is_builtin(F.col("entity_kind"), F.col("iri")))
-    if not include_annotations:
-        rows = rows.where("not in_annotation")
-    # A root's repeats go first; then plain sums need no distinct expansion.
-    once = rows.groupBy("entity_kind", "iri", "root_id").agg(F.min(F.col("in_annotation").cast("int")).alias("only_annotation"), F.max((F.col("role") == "declaration").cast("int")).alias("declares"))
+    return rows if include_annotations else rows.where("not in_annotation")
+
+
+def entities(occurrence: DataFrame, include_builtins: bool = True, include_annotations: bool = True) -> DataFrame:
+    """(entity_kind, iri): the signature without counts."""
+    return _entities(occurrence, include_builtins, include_annotations).select("entity_kind", "iri").distinct()
+
+
+def signature(occurrence: DataFrame, include_builtins: bool = True, include_annotations: bool = True) -> DataFrame:
+    """(entity_kind, iri, n_roots, n_roots_plain, n_declarations): counts are of roots, not of places."""
+    rows = _entities(occurrence, include_builtins, include_annotations)
+    # A root's repeats go first, by 128 bits of its id; then plain sums need no distinct expansion.
+    key = (F.xxhash64("root_id").alias("h1"), F.xxhash64(F.lit(1), "root_id").alias("h2"))
+    once = rows.groupBy("entity_kind", "iri", *key).agg(F.min(F.col("in_annotation").cast("int")).alias("only_annotation"), F.max((F.col("role") == "declaration").cast("int")).alias("declares"))
     return once.groupBy("entity_kind", "iri").agg(F.count("*").alias("n_roots"), F.sum(1 - F.col("only_annotation")).alias("n_roots_plain"), F.sum("declares").alias("n_declarations"))
 
 
+def declaration_counts(occurrence: DataFrame) -> DataFrame:
+    """(entity_kind, iri, n): declaring roots of each entity."""
+    rows = occurrence.where("role = 'declaration' and entity_kind is not null")
+    return rows.groupBy("entity_kind", "iri", F.xxhash64("root_id").alias("h1"), F.xxhash64(F.lit(1), "root_id").alias("h2")).agg(F.lit(1).alias("one")).groupBy("entity_kind", "iri").agg(F.count("*").alias("n"))
+
+
+def changed_counts(base: DataFrame, change: DataFrame) -> DataFrame:
+    """Counts (entity_kind, iri, n) after signed changes (entity_kind, iri, sign), never under 0; none left, no row."""
+    rows = base.select("entity_kind", "iri", "n").unionByName(change.select("entity_kind", "iri", F.col("sign").cast("long").alias("n")))
+    return rows.groupBy("entity_kind", "iri").agg(F.greatest(F.lit(0).cast("long"), F.sum("n")).alias("n")).where("n > 0")
+
+
 def signature_order() -> Column:
     """The view's order: kind as declared, then IRI."""
     out = F.lit(len(ENTITY_KINDS))
@@ -78,12 +129,12 @@ def signature_order() -> Column:
 
 
 def flat_iris(occurrence: DataFrame) -> DataFrame:
-    return occurrence.select("iri").distinct()
+    return occurrence.where("entity_kind is not null").select("iri").distinct()
 
 
 def punned(occurrence: DataFrame) -> DataFrame:
     """IRIs of more than one kind, with their kinds in view order."""
-    kinds = occurrence.select("entity_kind", "iri").distinct().groupBy("iri").agg(F.array_join(F.array_sort(F.collect_list("entity_kind")), ",").alias("kinds"), F.count("*").alias("n_kinds"))
+    kinds = entities(occurrence).groupBy("iri").agg(F.array_join(F.array_sort(F.collect_list("entity_kind")), ",").alias("kinds"), F.count("*").alias("n_kinds"))
     return kinds.where("n_kinds > 1")
 
 
@@ -96,7 +147,7 @@ def declared(declaration: DataFrame) -> DataFrame:
 
 def undeclared(occurrence: DataFrame, declaration: DataFrame, include_builtins: bool = False) -> DataFrame:
     """Entities of the signature that no axiom declares."""
-    used = occurrence.select("entity_kind", "iri")
+    used = occurrence.where("entity_kind is not null").select("entity_kind", "iri")
     if not include_builtins:
         used = used.where(~is_builtin(F.col("entity_kind"), F.col("iri")))
     return used.distinct().join(declared(declaration), ["entity_kind", "iri"], "left_anti")
@@ -117,7 +168,7 @@ def reverse_iri(assertions: DataFrame, wanted: DataFrame) -> DataFrame:
     return assertions.where("value_kind = 'iri'").join(wanted.select(F.col("iri").alias("value")).distinct(), "value", "left_semi")
 
 
-def preferred_label(assertions: DataFrame, preferences: list[str], property: str = "rdfs:label", untagged: bool = True) -> DataFrame:
+def preferred_label(assertions: DataFrame, preferences: list[str], property: str = LABEL, untagged: bool = True) -> DataFrame:
     """One literal a subject: the first preference that matches, then untagged; least value of several."""
     rank = F.when(F.col("lang").isNull(), len(preferences)) if untagged else F.when(F.lit(False), 0)
     for i, p in enumerate(preferences):
@@ -159,6 +210,28 @@ def postings(occurrence: DataFrame) -> DataFrame:
     return rows.groupBy("entity_kind", "iri").agg(F.sum("places").alias("n"), F.count("*").alias("n_roots"), F.min("root_id").alias("first_root"))
 
 
+def of_iri(occurrence: DataFrame, iri: str) -> DataFrame:
+    """All places of an IRI, of every kind of entity and as a bare IRI."""
+    return occurrence.where(F.col("iri") == iri)
+
+
+def with_axiom(occurrence: DataFrame, root: DataFrame) -> DataFrame:
+    """Places with axiom_id: their root where that is an axiom, null in ontology annotations and rules."""
+    kinds = root.select("root_id", "root_kind").distinct()
+    return occurrence.join(kinds, "root_id", "left").withColumn("axiom_id", F.when(F.col("root_kind") == "axiom", F.col("root_id"))).drop("root_kind")
+
+
+def occurrence_order() -> tuple[Column, ...]:
+    """Container, path, role, key."""
+    return F.col("root_id"), F.col("path"), F.col("role"), F.col("entity_kind"), F.col("iri")
+
+
+def posting_lists(occurrence: DataFrame) -> DataFrame:
+    """Per expression its sorted places, comma-joined: (entity_kind, iri, places)."""
+    rows = expressions(occurrence).select("entity_kind", "iri", F.concat_ws("/", F.md5("root_id"), "role").alias("place"))
+    return rows.groupBy("entity_kind", "iri").agg(F.array_join(F.sort_array(F.collect_list("place")), ",").alias("places"))
+
+
 def dense_ids(entities: DataFrame, order: Column) -> DataFrame:
     """Ids 0, 1, … in the given order, without one task numbering all: ranks within ranges plus range offsets."""
     ranged = entities.withColumn("__key", order).repartitionByRange("__key").withColumn("__part", F.spark_partition_id())

@@ -7,6 +7,7 @@ DataFrame literal and joins as a broadcast.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -93,6 +94,26 @@ _CONSTRUCTORS = """
 """
 
 
+# The namespaces of the standard vocabularies.
+NAMESPACES = {
+    "owl": "http://www.w3.org/2002/07/owl#",
+    "rdf": "http://www.w3.org/1999/02/22-rdf-syntax-ns#",
+    "rdfs": "http://www.w3.org/2000/01/rdf-schema#",
+    "xsd": "http://www.w3.org/2001/XMLSchema#",
+}
+
+
+def term(short: str) -> str:
+    """The full IRI of a standard term, such as rdfs:label."""
+    prefix, _, name = short.partition(":")
+    return NAMESPACES[prefix] + name
+
+
+def spelled_out(sql: str) -> str:
+    """SQL with standard terms at the start of its string literals written as full IRIs."""
+    return re.sub(r"'(owl|rdf|rdfs|xsd):", lambda m: "'" + NAMESPACES[m[1]], sql)
+
+
 @dataclass(frozen=True)
 class Field:
     name: str

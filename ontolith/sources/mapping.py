@@ -167,7 +167,8 @@ class Mapper:
         return out
 
     def _reified(self):
-        self.notes = {}
+        """Annotations of triples; those of an annotation's own triple are taken before it."""
+        self.notes, mains, inner = {}, {}, {}
         for s in list(self.by_s):
             types = {t[2][1] for t in self.by_s[s] if t[1][1] == TYPE}
             if types & {OWL + "Axiom", OWL + "Annotation"}:
@@ -175,7 +176,19 @@ class Mapper:
                 main = (self.one(s, OWL + "annotatedSource", True), self.one(s, OWL + "annotatedProperty", True), self.one(s, OWL + "annotatedTarget", True))
                 if main not in self.by_s.get(main[0], ()):
                     raise SyntaxProblem("an annotated triple is not there")
-                self.notes.setdefault(main, []).extend(self.annotations(s))
+                mains[s] = main
+                inner.setdefault(main[0], []).append(s)
+        done = set()
+
+        def take(s):
+            if s not in done:
+                done.add(s)
+                for x in inner.get(s, ()):
+                    take(x)
+                self.notes.setdefault(mains[s], []).extend(self.annotations(s))
+
+        for s in mains:
+            take(s)
         return self.notes
 
     # Axioms

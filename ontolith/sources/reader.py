@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..plans.graph import settle
 from . import encoding, functional, mapping, owlxml, turtle
 from .functional import Document, SyntaxProblem
-from .nodes import walk
+from .nodes import Node, strip_annotations, walk
 
 FORMATS = ("functional", "owlxml", "rdfxml", "turtle")
 # Media types and file endings.
@@ -66,13 +66,15 @@ def parse(data: bytes, fmt: str | None = None, base: str = "", strict: bool = Tr
 
 
 def render(doc: Document, fmt: str) -> str:
-    """Deterministic text in a format; RDF graphs are written as Turtle."""
+    """Deterministic text in a format."""
     if fmt == "functional":
         return functional.write(doc)
     if fmt == "owlxml":
         return owlxml.write(doc)
     if fmt == "turtle":
         return turtle.write_turtle(encoding.encode(doc))
+    if fmt == "rdfxml":
+        return turtle.write_rdfxml(encoding.encode(doc))
     raise SyntaxProblem(f"no writer for {fmt}")
 
 
@@ -85,12 +87,36 @@ def write_document(doc: Document, path: str, fmt: str) -> None:
 
 
 _PARSED = """document_key string, path string, format string, error string, ontology_iri string, version_iri string, source_sha256 binary, byte_length long, imports array<string>,
-roots array<struct<root_kind:string,root_id:binary,tag:int,canonical:binary,ordinal:int>>,
+roots array<struct<root_kind:string,root_id:binary,tag:int,canonical:binary,logical_id:binary,ordinal:int,args:array<struct<field:int,item:int,kind:string,text:string,datatype:string,lang:string>>>>,
 nodes array<struct<node_id:binary,tag:int,canonical:binary,entity_kind:string,iri:string,lexical:string,datatype:string,lang:string>>,
 fields array<struct<parent_id:binary,field_ordinal:int,item_index:int,child_id:binary>>,
 occurrences array<struct<root_id:binary,node_id:binary,tag:int,entity_kind:string,iri:string,path:string,role:string,in_annotation:boolean,depth:int>>"""
 
 
+def spelled(n: Node) -> tuple[str, str, str | None, str | None]:
+    """(kind, text, datatype, lang) of a value: named ones by their IRI, inverses with a leading ~, chains joined by >."""
+    if n.name == "Entity":
+        return n.values[0], n.values[1].values[0], None, None
+    if n.name == "IRI":
+        return "iri", n.values[0], None, None
+    if n.name == "Literal":
+        return "literal", n.values[0], n.values[1].values[1].values[0], n.values[2]
+    if n.name == "AnonymousIndividual":
+        return "anonymous", f"_:{n.values[0].hex()[:16]}.{n.values[1].decode()}", None, None
+    if n.name == "ObjectInverseOf":
+        return "inverse", "~" + spelled(n.values[0])[1], None, None
+    if n.name == "ObjectPropertyChain":
+        return "chain", ">".join(spelled(x)[1] for x in n.values[0]), None, None
+    return "expression", n.digest().hex(), n.name, None
+
+
+def arguments(root: Node) -> list[dict]:
+    """A root's own values but its annotations: what flat views are made of, without a join."""
+    keep = [x for x in root.children() if x[2] != "annotation"]
+    names = ("kind", "text", "datatype", "lang")
+    return [{"field": i, "item": k, **dict(zip(names, spelled(n), strict=True))} for i, k, _, n in keep]
+
+
 def _row(path: str, data: bytes, strict: bool, most: int | None = None) -> dict:
     sha = hashlib.sha256(data).digest()
     row = {"path": path, "source_sha256": sha, "byte_length": len(data), "document_key": sha.hex(), "imports": [], "roots": [], "nodes": [], "fields": [], "occurrences": []}
@@ -108,11 +134,11 @@ def _row(path: str, data: bytes, strict: bool, most: int | None = None) -> dict:
     for kind, part in (("ontology_annotation", doc.annotations), ("axiom", doc.axioms), ("extension", doc.extensions)):
         for k, root in enumerate(dict.fromkeys(part)):
             rid = root.digest()
-            row["roots"].append({"root_kind": kind, "root_id": rid, "tag": root.tag, "canonical": root.canonical, "ordinal": k})
+            row["roots"].append({"root_kind": kind, "root_id": rid, "tag": root.tag, "canonical": root.canonical, "logical_id": strip_annotations(root).digest(), "ordinal": k, "args": arguments(root)})
             for n, at, role, inside in walk(root):
                 nid = n.digest()
                 e = n.name == "Entity"
-                row["occurrences"].append({"root_id": rid, "node_id": nid, "tag": n.tag, "entity_kind": n.values[0] if e else None, "iri": n.values[1].values[0] if e else None, "path": "/".join(f"{t}.{i}" + ("" if x is None else f".{x}") for t, i, x in at), "role": role, "in_annotation": inside, "depth": len(at)})
+                row["occurrences"].append({"root_id": rid, "node_id": nid, "tag": n.tag, "entity_kind": n.values[0] if e else None, "iri": n.values[1].values[0] if e else n.values[0] if n.name == "IRI" else None, "path": "/".join(f"{t}.{i}" + ("" if x is None else f".{x}") for t, i, x in at), "role": role, "in_annotation": inside, "depth": len(at)})
                 if nid not in nodes:
                     lit = n.name == "Literal"
                     nodes[nid] = {"node_id": nid, "tag": n.tag, "canonical": n.canonical, "entity_kind": n.values[0] if e else None, "iri": n.values[1].values[0] if e else n.values[0] if n.name == "IRI" else None, "lexical": n.values[0] if lit else None, "datatype": n.values[1].values[1].values[0] if lit else None, "lang": n.values[2] if lit else None}
@@ -157,14 +183,81 @@ class Snapshot:
         owners = self.parsed.where("error is null").select(F.explode(F.array("ontology_iri", "version_iri", "path")).alias("iri"), F.col("document_key").alias("imported")).where("iri is not null").groupBy("iri").agg(F.min("imported").alias("imported"))
         return wanted.join(owners, "iri", "left").select("importing", "imported", "iri", F.when(F.col("imported").isNull(), "unresolved").otherwise("resolved").alias("status"))
 
+    def _axioms(self, *tags: int) -> DataFrame:
+        """Axioms of some tags with their arguments."""
+        return self.root.where((F.col("root_kind") == "axiom") & F.col("tag").isin(*tags))
+
+    def _pairs(self, *tags: int) -> DataFrame:
+        """(root_id, tag, a, b, document_key): first two arguments of each axiom."""
+        return self._axioms(*tags).select("root_id", "tag", F.col("args")[0].alias("a"), F.col("args")[1].alias("b"), "document_key")
+
+    @property
+    def declaration(self) -> DataFrame:
+        return self._axioms(60).select("root_id", F.col("args")[0]["kind"].alias("kind"), F.col("args")[0]["text"].alias("iri"), "document_key")
+
+    @property
     def sub_class(self) -> DataFrame:
         """Named sub-class axioms."""
-        ends = lambda role, name: self.occurrence.where((F.col("role") == role) & (F.col("entity_kind") == "class") & (F.col("depth") == 1)).select("root_id", F.col("iri").alias(name)).distinct()
-        return ends("subclass", "sub").join(ends("superclass", "sup"), "root_id")
+        return self._pairs(61).where("a.kind = 'class' and b.kind = 'class'").select("root_id", F.col("a.text").alias("sub"), F.col("b.text").alias("sup"), "document_key")
 
+    @property
     def equivalent_class(self) -> DataFrame:
-        axioms = self.root.where("tag = 62").select("root_id").distinct()
-        return self.occurrence.where("role = 'operand' and entity_kind = 'class' and depth = 1").join(axioms, "root_id", "left_semi").select("root_id", F.col("iri").alias("member")).distinct()
+        """Named members of equivalence axioms."""
+        return self._axioms(62).select("root_id", F.explode("args").alias("x"), "document_key").where("x.kind = 'class'").select("root_id", F.col("x.text").alias("member"), "document_key").distinct()
+
+    @property
+    def disjoint_union(self) -> DataFrame:
+        """(member, defined): named members of disjoint unions."""
+        rows = self._axioms(64).select("root_id", F.col("args")[0]["text"].alias("defined"), F.explode(F.slice("args", 2, 1 << 30)).alias("x"))
+        return rows.where("x.kind = 'class'").select("root_id", F.col("x.text").alias("member"), "defined")
+
+    @property
+    def class_assertion(self) -> DataFrame:
+        return self._pairs(112).where("a.kind = 'class'").select("root_id", F.col("a.text").alias("class_iri"), F.col("b.text").alias("individual"), "document_key")
+
+    @property
+    def object_assertion(self) -> DataFrame:
+        third = F.col("args")[2]["text"]
+        return self._axioms(113).select("root_id", F.col("args")[0]["text"].alias("property"), F.col("args")[1]["text"].alias("source"), third.alias("target"), "document_key")
+
+    @property
+    def data_assertion(self) -> DataFrame:
+        value = F.col("args")[2]
+        return self._axioms(115).select("root_id", F.col("args")[0]["text"].alias("property"), F.col("args")[1]["text"].alias("source"), value["text"].alias("lexical"), value["datatype"].alias("datatype"), "document_key")
+
+    @property
+    def annotation_assertion(self) -> DataFrame:
+        value = F.col("args")[2]
+        return self._axioms(120).select("root_id", F.col("args")[0]["text"].alias("property"), F.col("args")[1]["text"].alias("subject"), value["kind"].alias("value_kind"), value["text"].alias("value"), value["lang"].alias("lang"), "document_key")
+
+    @property
+    def property_axiom(self) -> DataFrame:
+        """(root_id, tag, first, second, chain): n-ary axioms as pairs with their first member, chains in `chain`."""
+        args, one = F.col("args"), F.lit("")
+        two = self._axioms(70, 73, 90, 121).select("root_id", "tag", F.when(args[0]["kind"] == "chain", one).otherwise(args[0]["text"]).alias("first"), args[1]["text"].alias("second"), F.when(args[0]["kind"] == "chain", args[0]["text"]).otherwise(one).alias("chain"), "document_key")
+        single = self._axioms(76, 77, 78, 79, 80, 81, 82, 95).select("root_id", "tag", args[0]["text"].alias("first"), one.alias("second"), one.alias("chain"), "document_key")
+        many = self._axioms(71, 72, 91, 92).select("root_id", "tag", args[0]["text"].alias("first"), F.explode(F.transform(F.slice("args", 2, 1 << 30), lambda x: x["text"])).alias("second"), one.alias("chain"), "document_key")
+        return two.unionByName(single).unionByName(many)
+
+    @property
+    def domain_range(self) -> DataFrame:
+        tag = F.col("tag")
+        kind = F.when(tag.isin(74, 75), "object").when(tag.isin(93, 94), "data").otherwise("annotation")
+        rows = self._pairs(74, 75, 93, 94, 122, 123)
+        named = F.when(tag >= 122, F.col("b.kind") == "iri").otherwise(F.col("b.kind").isin("class", "datatype"))
+        return rows.select("root_id", "tag", kind.alias("property_kind"), F.col("a.text").alias("property"), F.when(tag.isin(74, 93, 122), "domain").otherwise("range").alias("record_kind"), F.col("b.text").alias("value"), named.alias("named"), "document_key")
+
+    @property
+    def complex_endpoints(self) -> DataFrame:
+        """(tag, n): values of class axioms that hierarchies leave out because they have no name."""
+        rows = self._axioms(61, 62, 64).select("root_id", "tag", F.explode("args").alias("x")).where("x.kind <> 'class'")
+        return rows.groupBy("tag").agg(F.count("*").alias("n"))
+
+    @property
+    def nested_annotation(self) -> DataFrame:
+        """(root_id, container, annotation, depth): annotations inside a root and the annotations that hold them."""
+        rows = self.occurrence.where("tag = 5")
+        return rows.select("root_id", "node_id", F.size(F.filter(F.split("path", "/"), lambda x: x.startswith("5."))).alias("depth"), "path")
 
     def identity(self) -> DataFrame:
         """(document_key, ontology_iri, version_iri, ordinal): which documents there are, equal sources numbered."""
@@ -192,8 +285,16 @@ def read(spark: SparkSession, path: str, strict: bool = True, max_bytes: int | N
     if re.match(r"(https?|ftp)://", path):
         raise SyntaxProblem("network addresses are not read")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    unique = files.groupBy(F.sha2("content", 256).alias("sha")).agg(F.min_by("content", "path").alias("content"), F.min("path").alias("path"))
+    return read_texts(files.select("path", "content"), strict, max_bytes)
 
+
+def read_texts(files: DataFrame, strict: bool = True, max_bytes: int | None = None) -> Snapshot:
+    """Documents given as rows (path, content), content being bytes or text. Of equal contents the least path is parsed.
+
+    Only hashes and paths are shuffled; contents stay where they are but for those that are parsed.
+    """
+    rows = files.select(F.col("path").cast("string").alias("path"), F.col("content").cast("binary").alias("content"))
+    chosen = rows.select("path", F.sha2("content", 256).alias("sha")).groupBy("sha").agg(F.min("path").alias("path")).select("path")
     kind = _arrow_schema()
 
     def run(batches):
@@ -201,7 +302,75 @@ def read(spark: SparkSession, path: str, strict: bool = True, max_bytes: int | N
             rows = [_row(p, c, strict, max_bytes) for p, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_pylist([{n: r.get(n) for n in kind.names} for r in rows], schema=kind)
 
-    return Snapshot(settle(unique.select("path", "content").mapInArrow(run, _PARSED)))
+    return Snapshot(settle(rows.join(chosen, "path", "left_semi").select("path", "content").mapInArrow(run, _PARSED)))
+
+
+def coerce(spark: SparkSession, value) -> Snapshot:
+    """A snapshot of whatever stands for one: a snapshot, rows (path, content), bytes, text, or a path."""
+    if isinstance(value, Snapshot):
+        return value
+    if isinstance(value, DataFrame):
+        return read_texts(value)
+    if isinstance(value, bytes) or isinstance(value, str) and re.match(r"\s*(Prefix|Ontology|<|@|#)", value):
+        data = value if isinstance(value, bytes) else value.encode()
+        return read_texts(spark.createDataFrame([("memory:", bytearray(data))], "path string, content binary"))
+    return read(spark, os.fspath(value))
+
+
+def render_documents(files: DataFrame, fmt: str) -> DataFrame:
+    """Documents (path, content) written anew in a format: (path, format, content, error), one a row."""
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                try:
+                    out.append((path, fmt, render(parse(bytes(content), name=path), fmt), None))
+                except (ValueError, RecursionError) as e:
+                    out.append((path, fmt, None, f"{type(e).__name__}: {e}"))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.string()) for i in range(4)], names=["path", "format", "content", "error"])
+
+    rows = files.select(F.col("path").cast("string").alias("path"), F.col("content").cast("binary").alias("content"))
+    return rows.mapInArrow(run, "path string, format string, content string, error string")
+
+
+def encoded_triples(files: DataFrame) -> DataFrame:
+    """RDF triples of documents (path, content): (path, s, p, o, o_kind)."""
+
+    def run(batches):
+        for b in batches:
+            for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                triples = encoding.encode(parse(bytes(content), name=path))
+                cols = [[path] * len(triples), [s[1] for s, _, _ in triples], [p[1] for _, p, _ in triples], [o[1] for _, _, o in triples], [o[0] for _, _, o in triples]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=["path", "s", "p", "o", "o_kind"])
+
+    rows = files.select(F.col("path").cast("string").alias("path"), F.col("content").cast("binary").alias("content"))
+    return rows.mapInArrow(run, "path string, s string, p string, o string, o_kind string")
+
+
+def load_closure(spark: SparkSession, roots: DataFrame, library: DataFrame, policy: str = "resolve_strict", rounds: int = 64) -> Snapshot:
+    """Documents (path, content) and all they import, level by level.
+
+    library (iri, path, content) is what imports resolve to. Each level parses what isn't parsed yet, takes
+    its imports, and semi-joins the library with them; a cycle ends since nothing new comes. A policy of
+    `ignore` reads the roots alone, `record_unresolved` keeps what isn't found as edges, the others raise.
+    """
+    from ..operators.imports import IGNORE, with_policy
+
+    seen = read_texts(roots)
+    parsed = seen.parsed
+    for _ in range(0 if policy == IGNORE else rounds):
+        wanted = seen.parsed.select(F.explode("imports").alias("iri")).distinct()
+        fresh = library.join(wanted, "iri", "left_semi").withColumn("sha", F.sha2(F.col("content").cast("binary"), 256))
+        known = parsed.select(F.hex("source_sha256").alias("sha"))
+        fresh = settle(fresh.join(known.select(F.lower("sha").alias("sha")), "sha", "left_anti").select("path", "content"))
+        if not fresh.limit(1).count():
+            break
+        seen = read_texts(fresh)
+        parsed = settle(parsed.unionByName(seen.parsed))
+    out = Snapshot(parsed)
+    with_policy(out.import_edge, policy)
+    return out
 
 
 def load(spark: SparkSession, path: str) -> Snapshot:

@@ -262,3 +262,29 @@ def write_turtle(triples) -> str:
         return f"{quoted}@{lang}" if lang else quoted if datatype == XSD + "string" else f"{quoted}^^<{datatype}>"
 
     return "".join(sorted({f"{show(s)} {show(p)} {show(o)} .\n" for s, p, o in triples}))
+
+
+def write_rdfxml(triples) -> str:
+    """RDF/XML, one description a subject, sorted and without repeats. A predicate must end in an XML name."""
+    from xml.sax.saxutils import escape, quoteattr
+
+    by_subject: dict = {}
+    for s, p, o in triples:
+        by_subject.setdefault(s[:2], set()).add((p[1], o))
+    spaces, out = {RDF: "rdf"}, []
+    for kind, text in sorted(by_subject):
+        out.append(f"  <rdf:Description {'rdf:about' if kind == 'iri' else 'rdf:nodeID'}={quoteattr(text)}>\n")
+        for name, (what, value, datatype, lang) in sorted(by_subject[kind, text], key=repr):
+            cut = re.search(r"[A-Za-z_][\w.\-]*$", name)
+            if not cut:
+                raise SyntaxProblem(f"{name} has no local name for XML")
+            space, local = name[: cut.start()], cut[0]
+            tag = f"{spaces.setdefault(space, f'n{len(spaces)}')}:{local}"
+            if what == "literal":
+                extra = f" xml:lang={quoteattr(lang)}" if lang else "" if datatype in (None, XSD + "string") else f" rdf:datatype={quoteattr(datatype)}"
+                out.append(f"    <{tag}{extra}>{escape(value, {chr(13): '&#13;'})}</{tag}>\n")
+            else:
+                out.append(f"    <{tag} {'rdf:resource' if what == 'iri' else 'rdf:nodeID'}={quoteattr(value)}/>\n")
+        out.append("  </rdf:Description>\n")
+    names = "".join(f" xmlns:{prefix}={quoteattr(space)}" for space, prefix in spaces.items())
+    return f'<?xml version="1.0" encoding="UTF-8"?>\n<rdf:RDF{names}>\n{"".join(out)}</rdf:RDF>\n'

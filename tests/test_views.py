@@ -8,10 +8,10 @@ from ontolith import queries
 from ontolith.functions import lexical as L
 from ontolith.operators import algebra, hierarchy, imports, rdf, views
 from ontolith.plans import graph
-from ontolith.schema import BY_NAME, constructor_spec
+from ontolith.schema import BY_NAME, constructor_spec, term
 
 # A query of each kind; compare.py runs them all.
-SOME = ["axiom_type_counts", "undeclared_entities", "preferred_label", "class_edges_component", "import_closure", "overlay_effective", "delta_combine", "composite_origins", "overlay_equals_materialised", "role_analysis_non_simple", "lexical_validity", "rdf_list_items", "canonical_order", "structural_digests", "catalog_resolver"]
+SOME = ["axiom_type_counts", "undeclared_entities", "preferred_label", "class_edges_component", "import_closure", "overlay_effective", "delta_combine", "composite_origins", "overlay_views", "role_analysis_non_simple", "lexical_validity", "rdf_list_items", "canonical_order", "structural_digests", "catalog_resolver"]
 
 
 @pytest.fixture(scope="module")
@@ -90,13 +90,15 @@ def test_import_policies_and_resolvers(spark):
 
 
 def test_rdf_patterns(spark):
-    t = rows(spark, "s string, p string, o string", ("x", "rdf:type", "owl:Axiom"), ("x", "owl:annotatedSource", "a"), ("x", "owl:annotatedProperty", "p"), ("x", "owl:annotatedTarget", "b"), ("a", "p", "b"), ("a", "p", "c"))
+    t = rows(spark, "s string, p string, o string", ("x", term("rdf:type"), term("owl:Axiom")), ("x", term("owl:annotatedSource"), "a"), ("x", term("owl:annotatedProperty"), "p"), ("x", term("owl:annotatedTarget"), "b"), ("a", "p", "b"), ("a", "p", "c"))
     assert rdf.reified(t).first()["present"]
     assert rdf.one(t, "p").first()["ambiguous"]
     chain = rdf.component_axioms_to_triples(rows(spark, "root_id string, member string", ("r", "c"), ("r", "a"), ("r", "b")), "eq")
     assert {(r["s"], r["o"]) for r in chain.collect()} == {("a", "b"), ("b", "c")}
-    with pytest.raises(RuntimeError):
-        graph.list_items(rows(spark, "node string, first string, rest string, head int", ("l", "x", "l", 1)), rounds=4)
+    cells = [("l", "x", "l", 1), ("a", "1", "b", 1), ("b", "2", graph.NIL, 0), ("c", "3", "b", 1), ("d", "4", "gone", 1), ("x", "5", "y", 1), ("y", "6", "z", 0), ("z", "7", "x", 0), ("w", "8", "x", 1)]
+    got = {(r["head"], r["position"], r["item"]) for r in graph.list_items(rows(spark, "node string, first string, rest string, head int", *cells)).collect()}
+    assert got == {("a", 0, "1"), ("a", 1, "2"), ("c", 0, "3"), ("c", 1, "2")}
+    assert {(r["node"], r["n"]) for r in graph.shared_tails(rows(spark, "node string, first string, rest string, head int", *cells)).collect()} == {("b", 2), ("x", 2)}
 
 
 @pytest.mark.parametrize(("lexical", "datatype", "valid"), [("12", "integer", True), ("1.5", "integer", False), ("-0", "nonNegativeInteger", True), ("128", "byte", False), ("-128", "byte", True), ("+0127", "byte", True), ("18446744073709551615", "unsignedLong", True), ("18446744073709551616", "unsignedLong", False), ("9" * 60, "positiveInteger", True), ("0", "positiveInteger", False), ("true", "boolean", True), ("yes", "boolean", False), (".5", "decimal", True), ("-1", "negativeInteger", True), ("0", "negativeInteger", False), ("anything", "dateTime", True)])
