@@ -57,8 +57,13 @@ def valid_iri(value: Column) -> Column:
 
 
 def valid_language(value: Column) -> Column:
+    """Well formed, no extension letter twice, and before any of those no variant (five letters or more, or a digit and three) twice."""
     parts = F.split(F.lower(value), "-")
-    return value.rlike(r"^[A-Za-z]{1,8}(-[A-Za-z0-9]{1,8})*$") & (F.size(F.array_distinct(F.filter(parts, lambda x: F.length(x) == 1))) == F.size(F.filter(parts, lambda x: F.length(x) == 1)))
+    singles = F.filter(parts, lambda x: F.length(x) == 1)
+    head = F.split(F.regexp_replace(F.lower(value), "-[a-z0-9](-.*)?$", ""), "-")
+    variants = F.filter(F.slice(head, 2, 64), lambda x: x.rlike("^([a-z0-9]{5,8}|[0-9][a-z0-9]{3})$"))
+    once = lambda x: F.size(F.array_distinct(x)) == F.size(x)
+    return value.rlike(r"^[A-Za-z]{1,8}(-[A-Za-z0-9]{1,8})*$") & once(singles) & once(variants)
 
 
 def language_matches(lang: Column, preference: Column) -> Column:

@@ -86,7 +86,7 @@ def write_document(doc: Document, path: str, fmt: str) -> None:
     os.replace(part, path)
 
 
-_PARSED = """document_key string, path string, format string, error string, ontology_iri string, version_iri string, source_sha256 binary, byte_length long, imports array<string>,
+_PARSED = """document_key string, path string, format string, error string, warning string, ontology_iri string, version_iri string, source_sha256 binary, byte_length long, imports array<string>,
 roots array<struct<root_kind:string,root_id:binary,tag:int,canonical:binary,logical_id:binary,ordinal:int,args:array<struct<field:int,item:int,kind:string,text:string,datatype:string,lang:string>>>>,
 nodes array<struct<node_id:binary,tag:int,canonical:binary,entity_kind:string,iri:string,lexical:string,datatype:string,lang:string>>,
 fields array<struct<parent_id:binary,field_ordinal:int,item_index:int,child_id:binary>>,
@@ -124,6 +124,9 @@ def _row(path: str, data: bytes, strict: bool, most: int | None = None) -> dict:
         return row | {"error": f"LimitExceeded: {len(data)} bytes, at most {most}"}
     try:
         row["format"] = detect(data, name=path)
+        ending = ENDINGS.get(os.path.splitext(path)[1].lower())
+        if ending and ending != row["format"]:
+            row["warning"] = f"content is {row['format']}, the ending says {ending}"
         doc = parse(data, row["format"], path, strict)
     except (ValueError, RecursionError) as e:
         return row | {"error": f"{type(e).__name__}: {e}"}
@@ -155,7 +158,7 @@ class Snapshot:
 
     @property
     def document(self) -> DataFrame:
-        return self.parsed.select("document_key", "path", "format", "error", "ontology_iri", "version_iri", "source_sha256", "byte_length")
+        return self.parsed.select("document_key", "path", "format", "error", "warning", "ontology_iri", "version_iri", "source_sha256", "byte_length")
 
     def _part(self, name: str) -> DataFrame:
         return self.parsed.select("document_key", F.explode(name).alias("x")).select("document_key", "x.*")
