@@ -27,7 +27,7 @@ def op4_decontamination(spark, sf_dir):
     return found.select("doc_id", "n_words", "n_hit", n.alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (n >= decontam.CONTAMINATED).alias("contaminated"))
 
 
-#: Target marginals of the query and the pipeline; languages that aren't named keep what is left, sources and topics are tempered.
+#: Target marginals of the query; languages that aren't named keep what is left, sources and topics are tempered.
 TARGETS = {"lang": {"en": 0.45, "de": 0.2, "fr": 0.15, "es": 0.15}}
 
 
