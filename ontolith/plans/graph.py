@@ -94,7 +94,7 @@ def list_items(cells: DataFrame, nil: str = NIL) -> DataFrame:
         new = settle(jumps[-1].join(ended.select(F.col("node").alias("rest")), "rest", "left_semi").select("node").join(ended, "node", "left_anti"))
         if not new.limit(1).count():
             break
-        ended = settle(ended.unionByName(new))
+        ended = ended.unionByName(new)
         j = jumps[-1]
         jumps.append(settle(j.alias("x").join(j.alias("y"), F.col("x.rest") == F.col("y.node")).select("x.node", "y.rest")))
     found = settle(cells.where("head = 1").select(F.col("node").alias("head")).distinct().join(ended.select(F.col("node").alias("head")), "head", "left_semi").select("head", F.col("head").alias("node"), F.lit(0).alias("position")))
