@@ -79,24 +79,32 @@ def held_out(column: str, n: int):
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """Connected components of (a, b): returns (node, label), label being the least node.
 
-    Each round takes every node's least neighbouring label and then halves the chains of
-    labels by a self-join, so rounds grow with the logarithm of the longest path. Tables
-    are written each round; only a count reaches the driver. Raises if it hasn't ended.
+    Each round every node takes its least neighbour, if that is less, and then what that one took,
+    to the end of the chain, which halves what is left of it by a self-join. Edges are drawn anew
+    between what their ends took, and those inside one node go: only edges that are still open are
+    joined again, each from its two ends, and a round leaves at most half of the nodes. Tables are
+    written each round; only a count reaches the driver. Raises if it hasn't ended.
     """
-    both = edges.select(F.col("a"), F.col("b")).where("a <> b")
-    both = cut(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
+    ends = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    still = cut(edges.where("a <> b").select(*ends(F.col("a"), F.col("b"))).distinct())
+    # A component's least node takes itself, so what is left of it is that one.
+    label = cut(still.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("label")))
     for _ in range(rounds):
-        near = both.join(label.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("seen"))
-        step = label.join(near, "node").select("node", "label", F.least("label", "seen").alias("low"))
-        up = label.select(F.col("node").alias("low"), F.col("label").alias("top"))
-        # A node's least label is itself a node, so its own label is at most that.
-        new = cut(step.join(up, "low", "left").select("node", F.col("label").alias("was"), F.least("low", F.coalesce("top", "low")).alias("label")))
-        changed = new.where("label <> was").limit(1).count()
-        release(label)
-        label = new.select("node", "label")
-        label._cut_path = new._cut_path
-        if not changed:
-            release(both)
+        if not still.limit(1).count():
+            release(still)
             return label
+        took = cut(still.groupBy(F.col("b").alias("of")).agg(F.min("a").alias("took")))
+        while True:
+            up = took.select(F.col("of").alias("took"), F.col("took").alias("top"))
+            far = cut(took.join(up, "took", "left").select("of", F.coalesce("top", "took").alias("took"), F.col("top").isNotNull().alias("moved")))
+            release(took)
+            took = far
+            if not far.where("moved").limit(1).count():
+                break
+        new = cut(label.join(took, F.col("label") == F.col("of"), "left").select("node", F.coalesce("took", "label").alias("label")))
+        half = still.join(took, F.col("b") == F.col("of")).select("a", F.col("took").alias("b"))
+        moved = half.join(took, F.col("a") == F.col("of"), "left").select(F.coalesce("took", "a").alias("a"), "b")
+        fewer = cut(moved.where("a <> b").select(*ends(F.col("a"), F.col("b"))).distinct())
+        release(still, label, took)
+        still, label = fewer, new
     raise RuntimeError(f"components not settled after {rounds} rounds")

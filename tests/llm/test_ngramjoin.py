@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from ontolith.llm import ngramjoin as N
-from ontolith.llm.util import RID
+from ontolith.llm.util import RID, components
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -150,3 +150,41 @@ def test_packed_blocks():
     rows = [(bytes([i]) * 16, i + 1, np.sort(s)) for i, s in enumerate(sets)]
     got = N.unpack_block(N.pack_block(rows))
     assert [(k, c, s.tolist()) for k, c, s in got] == [(k, c, s.tolist()) for k, c, s in rows]
+
+
+def joined(monkeypatch):
+    """Rows that each join from now on makes."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    plain, made = DataFrame.join, []
+
+    def join(self, *args, **named):
+        out = plain(self, *args, **named)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(DataFrame, "join", join)
+    return made
+
+
+def test_components_join_open_edges_alone(spark, monkeypatch):
+    """Copies that follow other leaders in each bucket: edges are joined once from each end, not again in every round."""
+    pairs = {(j, 100 + i) for i in range(600) for j in random.Random(i).sample(range(40), 8)}
+    pairs |= {(i, i + 1) for i in range(800, 860)}
+    made = joined(monkeypatch)
+    got = {r["node"]: r["label"] for r in components(spark.createDataFrame(sorted(pairs), "a long, b long")).collect()}
+    assert got == {x: 0 if x < 800 else 800 for p in pairs for x in p}
+    assert sum(made) < 4 * len(pairs)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_components_against_plain(spark, seed):
+    rng = random.Random(seed)
+    pairs = [(f"n{rng.randrange(300):03}", f"n{rng.randrange(300):03}") for _ in range(170)]
+    least = {x: x for p in pairs for x in p if p[0] != p[1]}
+    for _ in least:
+        for a, b in pairs:
+            if a != b:
+                least[a] = least[b] = min(least[a], least[b])
+    got = {r["node"]: r["label"] for r in components(spark.createDataFrame(pairs, "a string, b string")).collect()}
+    assert got == least
