@@ -16,12 +16,15 @@ shares. An attribute without targets aims at its present shares to the power TEM
 rare values. Only values with tokens take part.
 
 Topics are clusters inside a language: TOPICS of them for each value of lang, of hashed TF-IDF word vectors
-(spherical k-means), unless the input has a topic column. Clusters and word weights are fitted on a
-sample of about TOPIC_ROWS texts, drawn by their hash; every text is then given the cluster of its
-language nearest to all of its words (`none` without words). As such a topic lies in one language, its
+(spherical k-means), unless the input has a topic column. Word weights, first centroids and every round of
+the clusters are taken over all texts: each is packed once as its words' counts by bucket, a round sums the
+texts nearest to each centroid. First centroids are texts drawn by their distance to those before them and a hash.
+Vectors and centroids are whole numbers, so no sum hangs on the order of rows. Rounds end when no centroid moves
+by more than MOVED, or after TOPIC_ROUNDS. Languages of up to FEW texts are clustered in one task each, in the same
+steps; of the others LOT share a pass. A text without words has topic `none`. As such a topic lies in one language, its
 target is the language's times its tempered share inside it, so both can be met.
 
-Texts are read once more than the sample: topic, tokens and the draw's chance are written beside the
+Texts are read once: packed words, tokens and the draw's chance are written beside the
 columns that are kept. Cells are summed up before they meet anywhere. Up to DRIVER_CELLS of them are
 raked on the driver; beyond that the same steps run as DataFrame aggregations, with the marginals
 (one row a value) joined. Both ways end at the same marginals within the tolerance.
@@ -35,14 +38,16 @@ that assign() replaces __topic, __tokens, __weight, __p and __drawn.
 from __future__ import annotations
 
 import warnings
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as X
-from .util import cut, numbered
+from .util import cut, numbered, release
 
 TEMPER = 0.7
 ROUNDS = 2000
@@ -56,8 +61,14 @@ DRIVER_CELLS = 100_000
 SHARE = 0.5
 DIMS = ("source", "lang", "topic")
 TOPICS = 6
-TOPIC_ROWS = 2048
+TOPIC_ROUNDS = 25
+#: Squared way of a unit centroid in a round that ends its language's rounds.
+MOVED = 1e-4
+#: Texts of a language that one task takes whole; larger languages that share a pass.
+FEW, LOT = 512, 64
 BUCKETS = 4096
+#: What a weight of 1 is in a text's vector and in a centroid; sums of their products stay below 2 ** 53.
+UNIT, FINE = 1 << 15, 1 << 20
 SEED = 20240607
 
 
@@ -68,82 +79,289 @@ def _words(column: pa.Array):
     return (X.word_hashes(t, w, lower=True) >> X.U(52)).astype(np.int64), w.first
 
 
-def _vectors(batches):
-    """Rows (text, lang): word counts by bucket of each text."""
-    for b in batches:
-        for s, e in X.slices(b.column(0)):
-            bucket, first = _words(b.column(0).slice(s, e - s))
-            rows = [np.unique(bucket[first[i] : first[i + 1]], return_counts=True) for i in range(e - s)]
-            yield pa.RecordBatch.from_arrays([b.column(1).slice(s, e - s), pa.array([r[0] for r in rows], pa.list_(pa.int64())), pa.array([r[1] for r in rows], pa.list_(pa.int64()))], names=["lang", "bucket", "n"])
+def _pairs(column: pa.Array, kind):
+    """Packed pairs of all rows, and each row's bounds."""
+    t = X.flat(column)
+    size = 2 * np.dtype(kind).itemsize
+    return np.frombuffer(t.data, kind).reshape(-1, 2), t.offsets // size
 
 
-def kmeans(x: np.ndarray, k: int, rounds: int = 25, seed: int = 3) -> np.ndarray:
-    """Unit centroids of unit rows; a cluster left empty takes the row that is worst off."""
-    rng = np.random.default_rng(seed)
-    c = x[[int(rng.integers(len(x)))]]
-    while len(c) < k:
-        # Far rows are likelier to start a cluster.
-        far = np.maximum(1 - (x @ c.T).max(1), 1e-9)
-        c = np.concatenate([c, x[[int(rng.choice(len(x), p=far / far.sum()))]]])
-    for _ in range(rounds):
-        near = x @ c.T
-        own = near.argmax(1)
-        new = np.stack([x[own == j].sum(0) if (own == j).any() else x[near.max(1).argmin()] for j in range(k)])
-        new /= np.maximum(np.linalg.norm(new, axis=1, keepdims=True), 1e-12)
-        if np.allclose(new, c):
+def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sum of each row's values; 0 where it has none."""
+    if not len(values):
+        return np.zeros(len(first) - 1, values.dtype)
+    return np.where(np.diff(first) > 0, np.add.reduceat(values, np.minimum(first[:-1], len(values) - 1)), 0)
+
+
+def _numbers(langs: pa.Array, known: dict) -> np.ndarray:
+    """Each row's language as numbered; -1 where it isn't."""
+    coded = pc.dictionary_encode(langs, null_encoding="encode")
+    return np.array([known.get(x, -1) for x in coded.dictionary.to_pylist()], np.int64)[coded.indices.to_numpy(zero_copy_only=False)]
+
+
+def _weights(pairs: np.ndarray, first: np.ndarray, lang: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Unit vectors of TF-IDF as whole numbers, entry by entry."""
+    of = np.repeat(np.maximum(lang, 0), np.diff(first))
+    x = np.log1p(pairs[:, 1].astype(np.float64)) * idf.ravel()[of * BUCKETS + pairs[:, 0]]
+    norm = np.sqrt(_sums(x * x, first))
+    return np.rint(x / np.repeat(np.maximum(norm, 1e-12), np.diff(first)) * UNIT)
+
+
+def _near(bucket: np.ndarray, x: np.ndarray, first: np.ndarray, lang: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """(rows, clusters): products with the centroids (cluster, language, bucket) of the row's language."""
+    at = np.repeat(lang, np.diff(first)) * BUCKETS + bucket
+    return np.stack([_sums(c.ravel()[at] * x, first) for c in centroids], axis=1)
+
+
+_PART = "lang string, cluster int, n long, sums binary, least double, row binary"
+
+
+def _part(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.float64(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 6, kinds, strict=True)], names=[x.split()[0] for x in _PART.split(", ")])
+
+
+def _added(part: pa.Table) -> pa.Table:
+    """Parts of one language and cluster as one: sums, and the row of the least value."""
+    rows = part.to_pylist()
+    sums = np.zeros(BUCKETS, np.int64)
+    for r in rows:
+        if r["sums"]:
+            sums += np.frombuffer(r["sums"], np.int64)
+    least = min(((r["least"], r["row"]) for r in rows if r["row"] is not None), default=(None, None))
+    return pa.Table.from_batches([_part([(rows[0]["lang"], rows[0]["cluster"], sum(r["n"] for r in rows), sums.tobytes(), *least)])])
+
+
+def _holders(shared):
+    """Texts, and texts with a word of each bucket, by language, of rows (lang, words)."""
+
+    def run(batches):
+        n, sums = {}, {}
+        for b in batches:
+            langs = pc.unique(b.column(0)).to_pylist()
+            lang = _numbers(b.column(0), {x: i for i, x in enumerate(langs)})
+            pairs, first = _pairs(b.column(1), np.uint32)
+            held = np.bincount(np.repeat(lang, np.diff(first)) * BUCKETS + pairs[:, 0], minlength=len(langs) * BUCKETS).reshape(-1, BUCKETS)
+            for i, x in enumerate(langs):
+                n[x], sums[x] = n.get(x, 0) + int((lang == i).sum()), sums.get(x, 0) + held[i]
+        yield _part([(x, 0, n[x], sums[x].astype(np.int64).tobytes(), None, None) for x in n])
+
+    return run
+
+
+def _vectors(shared):
+    """Rows (lang, words) as (lang, row): pairs of bucket and weight."""
+
+    def run(batches):
+        number, idf = shared.value
+        for b in batches:
+            for s, e in X.slices(b.column(1)):
+                pairs, first = _pairs(b.column(1).slice(s, e - s), np.uint32)
+                x = _weights(pairs, first, _numbers(b.column(0).slice(s, e - s), number), idf)
+                data = np.stack([pairs[:, 0], x], axis=1).astype(np.uint16).tobytes()
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(s, e - s), pa.array([data[4 * i : 4 * j] for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)], pa.binary())], names=["lang", "row"])
+
+    return run
+
+
+def _open(b: pa.RecordBatch, number: dict):
+    """Slices of the rows (lang, row) of numbered languages: (rows, bucket, weight, bounds, language)."""
+    lang = _numbers(b.column(0), number)
+    column, lang = b.column(1).filter(pa.array(lang >= 0)), lang[lang >= 0]
+    for s, e in X.slices(column):
+        part = column.slice(s, e - s)
+        pairs, first = _pairs(part, np.uint16)
+        yield part, pairs[:, 0].astype(np.int64), pairs[:, 1].astype(np.float64), first, lang[s:e]
+
+
+def _lowest(least: dict, value: np.ndarray, rows: pa.Array, lang: np.ndarray) -> None:
+    """Keeps each language's row of the least value; rows of equal values go by their bytes."""
+    low = np.full(int(lang.max()) + 1, np.inf)
+    np.minimum.at(low, lang, value)
+    for i in np.flatnonzero(value <= low[lang]).tolist():
+        least[lang[i]] = min(least.get(lang[i], (np.inf, b"")), (float(value[i]), rows[i].as_py()))
+
+
+def _drawn(shared):
+    """By language the row that wins a race with odds by its distance to the centroids so far."""
+
+    def run(batches):
+        number, centroids, seed = shared.value
+        names, least = list(number), {}
+        for b in batches:
+            for rows, bucket, x, first, lang in _open(b, number):
+                # The same for a text wherever it lies.
+                h = X.mix(_sums(X.mix((bucket.astype(np.uint64) << X.U(16)) + x.astype(np.uint64) + X.seeded(seed)), first).astype(np.uint64))
+                far = np.ones(len(lang))
+                if len(centroids):
+                    far = np.maximum(1 - _near(bucket, x, first, lang, centroids).max(1) / (UNIT * FINE), 1e-9)
+                _lowest(least, -np.log(((h >> X.U(11)).astype(np.float64) + 0.5) / (1 << 53)) / far, rows, lang)
+        yield _part([(names[i], 0, 0, None, *found) for i, found in least.items()])
+
+    return run
+
+
+def _walked(shared):
+    """By language and cluster the rows nearest to its centroid and their sums, and the row that is worst off."""
+
+    def run(batches):
+        number, centroids, _ = shared.value
+        names, least, k = list(number), {}, len(centroids)
+        n, sums = np.zeros(len(names) * k, np.int64), np.zeros(len(names) * k * BUCKETS)
+        for b in batches:
+            for rows, bucket, x, first, lang in _open(b, number):
+                near = _near(bucket, x, first, lang, centroids)
+                _lowest(least, near.max(1), rows, lang)
+                own = lang * k + near.argmax(1)
+                n += np.bincount(own, minlength=len(n))
+                # Whole numbers: exact in doubles.
+                sums += np.bincount(np.repeat(own, np.diff(first)) * BUCKETS + bucket, x, len(sums))
+        sums = sums.astype(np.int64).reshape(-1, k, BUCKETS)
+        yield _part([(names[i], j, int(n[i * k + j]), sums[i, j].tobytes(), *found) for i, found in least.items() for j in range(k)])
+
+    return run
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
+    v = np.asarray(v, np.float64)
+    return np.rint(v / max(np.sqrt((v * v).sum()), 1e-12) * FINE)
+
+
+def _dense(row: bytes) -> np.ndarray:
+    out, pairs = np.zeros(BUCKETS), np.frombuffer(row, np.uint16).reshape(-1, 2)
+    out[pairs[:, 0]] = pairs[:, 1]
+    return out
+
+
+def _clustered(scan, pack, topics: int):
+    """Languages' numbers, word weights (language, bucket) and centroids (cluster, language, bucket).
+
+    scan(pass, shared) gives the added parts over all rows, pack(shared) turns counts into vectors.
+    """
+    held = scan(_holders, None)
+    number = {r["lang"]: i for i, r in enumerate(sorted(held, key=lambda r: (r["lang"] is None, r["lang"] or "")))}
+    idf = np.zeros((len(number), BUCKETS))
+    for r in held:
+        idf[number[r["lang"]]] = np.log((r["n"] + 1) / (np.frombuffer(r["sums"], np.int64) + 1))
+    pack((number, idf))
+    centroids = np.zeros((0, len(number), BUCKETS))
+    for seed in range(topics):
+        more = np.zeros((1, len(number), BUCKETS))
+        for r in scan(_drawn, (number, centroids, SEED + seed)):
+            more[0, number[r["lang"]]] = _unit(_dense(r["row"]))
+        centroids = np.concatenate([centroids, more])
+    still = list(number)
+    for _ in range(TOPIC_ROUNDS):
+        at = [number[x] for x in still]
+        new = centroids.copy()
+        for r in scan(_walked, ({x: i for i, x in enumerate(still)}, centroids[:, at], None)):
+            # A cluster left empty takes the row that is worst off.
+            new[r["cluster"], number[r["lang"]]] = _unit(np.frombuffer(r["sums"], np.int64) if r["n"] else _dense(r["row"]))
+        way = ((new - centroids) ** 2).sum(2).max(0) / FINE**2
+        centroids, still = new, [x for x in still if way[number[x]] > MOVED]
+        if not still:
             break
-        c = new
-    return c
-
-
-def fit_topics(docs: DataFrame, topics: int = TOPICS, rows: int = TOPIC_ROWS) -> dict[str | None, np.ndarray]:
-    """docs (text, lang): for each language (BUCKETS, topics), what a word of a bucket says for each topic."""
-    texts = docs.where("length(text) > 0")
-    every = max(1, texts.count() // rows)
-    got = texts.where(F.pmod(F.xxhash64("text", F.lit(SEED)), F.lit(every)) == 0).mapInArrow(_vectors, "lang string, bucket array<long>, n array<long>").toArrow()
-    by_lang: dict = {}
-    # Rows come in any order from the cluster; clusters must not hang on it.
-    for lang, bucket, n in sorted(zip(*(got.column(c).to_pylist() for c in ("lang", "bucket", "n")), strict=True), key=lambda r: r[1:]):
-        if bucket:
-            row = np.zeros(BUCKETS, np.float32)
-            row[bucket] = n
-            by_lang.setdefault(lang, []).append(row)
-    out = {}
-    for lang, rows_of in by_lang.items():
-        tf = np.stack(rows_of)
-        idf = np.log((len(tf) + 1) / ((tf > 0).sum(0) + 1)).astype(np.float32)
-        x = np.log1p(tf) * idf
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        out[lang] = (kmeans(x, topics) * idf).T.astype(np.float32)
+    return number, idf, centroids
+
+
+def _told(model, langs: pa.Array, words: pa.Array) -> pa.Array:
+    """The topic of each text."""
+    number, idf, centroids = model
+    out = []
+    for s, e in X.slices(words):
+        pairs, first = _pairs(words.slice(s, e - s), np.uint32)
+        lang = _numbers(langs.slice(s, e - s), number)
+        best = np.zeros(e - s, int)
+        if number and len(pairs):
+            best = _near(pairs[:, 0].astype(np.int64), _weights(pairs, first, lang, idf), first, np.maximum(lang, 0), centroids).argmax(1)
+        out += [f"{x or 'none'}:{k}" if n else f"{x or 'none'}:none" for x, k, n in zip(langs.slice(s, e - s).to_pylist(), best.tolist(), np.diff(first).tolist(), strict=True)]
+    return pa.array(out, pa.string())
+
+
+def fit_topics(rows: DataFrame, topics: int = TOPICS):
+    """Of all rows (lang, words): what _clustered() gives, by passes over the table."""
+    spark, at = rows.sparkSession, {"rows": rows}
+
+    def scan(step, value):
+        shared = spark.sparkContext.broadcast(value)
+        got = at["rows"].mapInArrow(step(shared), _PART).groupBy("lang", "cluster").applyInArrow(_added, _PART).toArrow().to_pylist()
+        shared.unpersist()
+        return got
+
+    def pack(value):
+        at["rows"] = cut(rows.mapInArrow(_vectors(spark.sparkContext.broadcast(value)), "lang string, row binary"))
+
+    out = _clustered(scan, pack, topics)
+    release(at["rows"])
+    return out
+
+
+def _alone(topics: int):
+    """Rows of one language with their topic."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        at = {"rows": table.select(["lang", "words"]).to_batches()}
+
+        def scan(step, value):
+            parts = pa.Table.from_batches(list(step(SimpleNamespace(value=value))(at["rows"])))
+            return [_added(parts.filter(pc.equal(parts["cluster"], c))).to_pylist()[0] for c in pc.unique(parts["cluster"]).to_pylist()]
+
+        def pack(value):
+            at["rows"] = list(_vectors(SimpleNamespace(value=value))(at["rows"]))
+
+        model = _clustered(scan, pack, topics)
+        told = pa.chunked_array([_told(model, b["lang"], b["words"]) for b in table.select(["lang", "words"]).to_batches()], pa.string())
+        return table.drop_columns(["words"]).append_column("topic", told)
+
+    return run
+
+
+def _with_topics(known: DataFrame, topics: int = TOPICS) -> DataFrame:
+    """known (.., lang, words) with topic for words."""
+    spark = known.sparkSession
+    worded = F.length("words") > 0
+    sizes = cut(known.where(worded).groupBy(F.col("lang").alias("l")).agg(F.count("*").alias("n")))
+    some, many = sizes.where(F.col("n") <= FEW).select("l"), sizes.where(F.col("n") > FEW).count()
+    rest, parts = known, []
+    if some.limit(1).count():
+        few = F.coalesce("few", F.lit(False)) & worded
+        split = known.join(some.withColumn("few", F.lit(True)), F.col("lang").eqNullSafe(F.col("l")), "left")
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in known.drop("words").schema) + ", topic string"
+        parts.append(cut(split.where(few).select(*known.columns).groupBy("lang").applyInArrow(_alone(topics), schema)))
+        rest = split.where(~few).select(*known.columns)
+    lots = max(1, -(-many // LOT))
+    for lot in range(lots):
+        mine = rest if lots == 1 else rest.where(F.pmod(F.xxhash64("lang"), F.lit(lots)) == lot)
+        model = spark.sparkContext.broadcast(fit_topics(mine.where(worded).select("lang", "words"), topics) if many else ({}, None, None))
+
+        def told(lang: pa.Array, words: pa.Array, model=model) -> pa.Array:
+            return _told(model.value, lang, words)
+
+        parts.append(mine.withColumn("topic", F.arrow_udf(lambda lang, words, told=told: told(lang, words), "string")("lang", "words")).drop("words"))
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
     return out
 
 
-def _measured(shared, at: int, keep: int):
-    """Rows with topic and tokens of the text in column `at`; the first `keep` columns stay, then lang's, the text and the given topic."""
+def _measured(at: int, keep: int, packed: bool):
+    """Rows with tokens of the text in column `at`; the first `keep` columns stay, then its packed words or the given topic."""
 
     def run(batches):
-        votes = shared.value
-        if votes:
-            number = {lang: i for i, lang in enumerate(votes)}
-            table = np.stack([*votes.values()])
         for b in batches:
             for s, e in X.slices(b.column(at)):
                 sub = b.slice(s, e - s)
                 tokens = np.diff(X.split(X.flat(sub.column(at)), X.NOT_SPACE).first)
-                given = sub.column(b.num_columns - 1)
-                if votes is not None:
-                    langs = sub.column(b.schema.get_field_index("lang")).to_pylist()
+                last = sub.column(b.num_columns - 1)
+                if packed:
                     bucket, first = _words(sub.column(at))
-                    n = np.diff(first)
-                    best = np.zeros(e - s, int)
-                    if votes:
-                        which = np.array([number.get(x, -1) for x in langs])
-                        if len(bucket):
-                            # Sums by text, the same wherever it lies; those of wordless texts aren't looked at.
-                            total = np.add.reduceat(table[np.repeat(which, n), bucket].astype(np.float64), np.minimum(first[:-1], len(bucket) - 1), axis=0)
-                            best = np.where(which >= 0, total.round(6).argmax(1), 0)
-                    given = pa.array([f"{x or 'none'}:{k}" if m else f"{x or 'none'}:none" for x, k, m in zip(langs, best.tolist(), n.tolist(), strict=True)], pa.string())
-                yield pa.RecordBatch.from_arrays([*sub.columns[:keep], given, pa.array(tokens)], names=[*b.schema.names[:keep], "topic", "tokens"])
+                    # Each text's buckets in order, with their counts.
+                    held, n = np.unique(np.repeat(np.arange(e - s), np.diff(first)) * BUCKETS + bucket, return_counts=True)
+                    data = np.stack([held % BUCKETS, n], axis=1).astype(np.uint32).tobytes()
+                    ends = np.searchsorted(held, np.arange(e - s + 1) * BUCKETS).tolist()
+                    last = pa.array([data[8 * i : 8 * j] for i, j in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*sub.columns[:keep], last, pa.array(tokens)], names=[*b.schema.names[:keep], "words" if packed else "topic", "tokens"])
 
     return run
 
@@ -325,18 +543,18 @@ def fit(cells: DataFrame, targets: dict[str, dict] | None = None, temper: float
 
 def _assigned(docs: DataFrame, targets, share, temper, driver_cells, keep):
     """Rows (in0, ..., source, lang, chance, topic, tokens, weight, p, drawn) and the numbered names of the columns kept."""
-    spark = docs.sparkSession
     plain, names = numbered(docs)
     kept = {c: n for c, n in names.items() if keep is None or c in keep}
     text = F.col(names["text"]).cast("string")
     of = lambda c: F.col(names[c]).cast("string") if c in names else F.lit(None).cast("string")
     chance = F.pmod(F.xxhash64(F.lit(SEED), of("doc_id"), F.md5(F.coalesce(text, F.lit("")))), F.lit(1 << 40)) / float(1 << 40)
     nested = "topic" not in names
-    votes = spark.sparkContext.broadcast(fit_topics(plain.select(text.alias("text"), of("lang").alias("lang"))) if nested else None)
     rows = plain.select(*kept.values(), of("source").alias("source"), of("lang").alias("lang"), chance.alias("chance"), text.alias("text"), of("topic").alias("topic"))
     n = len(kept) + 3
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:n])
-    known = cut(rows.mapInArrow(_measured(votes, n, n), f"{fields}, topic string, tokens long"))
+    known = cut(rows.mapInArrow(_measured(n, n, nested), f"{fields}, {'words binary' if nested else 'topic string'}, tokens long"))
+    if nested:
+        known = _with_topics(known)
     cells = cut(known.groupBy(*DIMS).agg(F.sum("tokens").alias("tokens")))
     fitted = fit(cells, targets, temper, driver_cells=driver_cells, share=share, nested=nested)
     total = cells.agg(F.sum("tokens")).first()[0] or 1

@@ -265,3 +265,48 @@ def test_mixing_odd_rows(odd, odd_rows, none):
     assert not any(r["__drawn"] for r in got if not (r["text"] or "").strip())
     assert B.mix(odd).columns == odd.columns
     assert B.assign(none).count() == 0
+
+
+def blurred(n):
+    """Texts of words from eight lists that run into each other, in two languages."""
+    rng = random.Random(8)
+    return [(i, " ".join(f"w{(rng.randrange(8) if rng.random() < 0.3 else i % 8) * 12 + rng.randrange(18)}" for _ in range(rng.randrange(6, 30))), "s", "xx" if i % 5 else "yy") for i in range(n)]
+
+
+BLURRED = "doc_id long, text string, source string, lang string"
+
+
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_topics_come_from_all_texts(spark, monkeypatch, few):
+    """Word weights and centroids over every text by plain arrays: each text lies nearest to the mean of its own topic."""
+    monkeypatch.setattr(B, "FEW", few, raising=False)
+    monkeypatch.setattr(B, "MOVED", 0.0, raising=False)
+    monkeypatch.setattr(B, "TOPIC_ROUNDS", 200, raising=False)
+    rows = blurred(6000)
+    got = {r["doc_id"]: r["__topic"] for r in B.assign(spark.createDataFrame(rows, BLURRED).repartition(5)).collect()}
+    for lang in ("xx", "yy"):
+        mine = [(i, t.split()) for i, t, _, g in rows if g == lang]
+        bucket = {w: int(B._words(pa.array([w]))[0][0]) for _, t in mine for w in t}
+        tf = np.zeros((len(mine), B.BUCKETS))
+        for k, (_, t) in enumerate(mine):
+            for w in t:
+                tf[k, bucket[w]] += 1
+        x = np.log1p(tf) * np.log((len(tf) + 1) / ((tf > 0).sum(0) + 1))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        own = np.array([int(got[i].split(":")[1]) for i, _ in mine])
+        means = np.stack([x[own == k].sum(0) for k in range(B.TOPICS)])
+        near = x @ (means / np.linalg.norm(means, axis=1, keepdims=True)).T
+        assert (near.max(1) - near[np.arange(len(x)), own] < 1e-3).all()
+
+
+def test_topics_in_passes_and_lots_equal_one_task(spark, monkeypatch):
+    rows = blurred(400) + [(9000 + i, f"only {i} of its language", "s", f"l{i % 7}") for i in range(40)] + [(9900, " ,", "s", "l1"), (9901, None, "s", "zz"), (9902, "null's language", "s", None)]
+    want = None
+    for few, lot, order in ((0, 64, 1), (0, 2, 2), (100_000, 64, 3), (50, 1, 4)):
+        monkeypatch.setattr(B, "FEW", few)
+        monkeypatch.setattr(B, "LOT", lot)
+        mixed = random.Random(order).sample(rows, len(rows))
+        got = {r["doc_id"]: r["__topic"] for r in B.assign(spark.createDataFrame(mixed, BLURRED).repartition(order)).collect()}
+        assert len(got) == len(rows) and (want is None or got == want)
+        want = got
+    assert want[9900] == "l1:none" and want[9901] == "zz:none" and want[9902].startswith("none:")
