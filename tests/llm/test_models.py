@@ -276,15 +276,10 @@ def blurred(n):
 BLURRED = "doc_id long, text string, source string, lang string"
 
 
-@pytest.mark.parametrize("few", [0, 100_000])
-def test_topics_come_from_all_texts(spark, monkeypatch, few):
-    """Word weights and centroids over every text by plain arrays: each text lies nearest to the mean of its own topic."""
-    monkeypatch.setattr(B, "FEW", few, raising=False)
-    monkeypatch.setattr(B, "MOVED", 0.0, raising=False)
-    monkeypatch.setattr(B, "TOPIC_ROUNDS", 200, raising=False)
-    rows = blurred(6000)
-    got = {r["doc_id"]: r["__topic"] for r in B.assign(spark.createDataFrame(rows, BLURRED).repartition(5)).collect()}
-    for lang in ("xx", "yy"):
+def off_by(rows, got):
+    """By plain arrays over all texts: how much nearer each text lies to another topic's mean than to its own."""
+    out = []
+    for lang in sorted({r[3] for r in rows}):
         mine = [(i, t.split()) for i, t, _, g in rows if g == lang]
         bucket = {w: int(B._words(pa.array([w]))[0][0]) for _, t in mine for w in t}
         tf = np.zeros((len(mine), B.BUCKETS))
@@ -296,7 +291,19 @@ def test_topics_come_from_all_texts(spark, monkeypatch, few):
         own = np.array([int(got[i].split(":")[1]) for i, _ in mine])
         means = np.stack([x[own == k].sum(0) for k in range(B.TOPICS)])
         near = x @ (means / np.linalg.norm(means, axis=1, keepdims=True)).T
-        assert (near.max(1) - near[np.arange(len(x)), own] < 1e-3).all()
+        out.append(near.max(1) - near[np.arange(len(x)), own])
+    return np.concatenate(out)
+
+
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_topics_come_from_all_texts(spark, monkeypatch, few):
+    """Word weights and centroids over every text: each lies nearest to the mean of its own topic."""
+    monkeypatch.setattr(B, "FEW", few, raising=False)
+    monkeypatch.setattr(B, "MOVED", 0.0, raising=False)
+    monkeypatch.setattr(B, "TOPIC_ROUNDS", 200, raising=False)
+    rows = blurred(6000)
+    got = {r["doc_id"]: r["__topic"] for r in B.assign(spark.createDataFrame(rows, BLURRED).repartition(5)).collect()}
+    assert (off_by(rows, got) < 1e-3).all()
 
 
 def test_topics_in_passes_and_lots_equal_one_task(spark, monkeypatch):

@@ -39,3 +39,21 @@ def test_run_against_stagewise_brute_force(spark, sf):
     assert all(not found for _, _, _, found in leaks([(r["doc_id"], r["text"]) for r in four.collect()], items) if len(found) >= 2)
     run = {r["doc_id"] for r in P.run(spark, sf).collect()}
     assert run and run == {r["doc_id"] for r in P.mix_sources(spark, four, sf).collect()}
+
+
+def test_mixing_stage_takes_topics_from_all_texts(spark, sf, monkeypatch):
+    from test_models import BLURRED, blurred, off_by
+
+    from ontolith.llm import mixing
+
+    monkeypatch.setattr(mixing, "FEW", 0, raising=False)
+    monkeypatch.setattr(mixing, "MOVED", 0.0, raising=False)
+    monkeypatch.setattr(mixing, "TOPIC_ROUNDS", 200, raising=False)
+    plain, seen = mixing._assigned, []
+    monkeypatch.setattr(mixing, "_assigned", lambda *args: seen.append(plain(*args)) or seen[-1])
+    rows = blurred(6000)
+    drawn = {r["doc_id"] for r in P.mix_sources(spark, spark.createDataFrame(rows, BLURRED), sf).collect()}
+    (out, kept), = seen
+    told = out.select(kept["doc_id"], "topic", "drawn").collect()
+    assert (off_by(rows, {r[0]: r[1] for r in told}) < 1e-3).all()
+    assert drawn == {r[0] for r in told if r[2]}
