@@ -20,7 +20,7 @@ Topics are clusters inside a language: TOPICS of them for each value of lang, of
 the clusters are taken over all texts: each is packed once as its words' counts by bucket, a round sums the
 texts nearest to each centroid. First centroids are texts drawn by their distance to those before them and a hash.
 Vectors and centroids are whole numbers, so no sum hangs on the order of rows. Rounds end when no centroid moves
-by more than MOVED, or after TOPIC_ROUNDS. Languages of up to FEW texts are clustered in one task each, in the same
+by more than MOVED, or after TOPIC_ROUNDS with a warning. Languages of up to FEW texts are clustered in one task each, in the same
 steps; of the others LOT share a pass. A text without words has topic `none`. As such a topic lies in one language, its
 target is the language's times its tempered share inside it, so both can be met.
 
@@ -261,6 +261,8 @@ def _clustered(scan, pack, topics: int):
         centroids, still = new, [x for x in still if way[number[x]] > MOVED]
         if not still:
             break
+    else:
+        warnings.warn(f"topics of {len(still)} languages still moved after {TOPIC_ROUNDS} rounds", stacklevel=2)
     return number, idf, centroids
 
 
