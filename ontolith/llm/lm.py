@@ -13,14 +13,16 @@ No count is dropped at any size and no table of long grams meets on the driver o
 Documents are packed into chunks of CHUNK_BYTES of text, one row each. A chunk names its distinct
 grams of the longest order with their training counts, dealt into parts by the last SPLIT bytes
 of their contexts and sent as one packed blob of sorted differences a part (never more rows than
-grams). A part, about CHUNK_BYTES of text's worth of grams, so holds whole contexts of orders from
+grams and words). A part, about CHUNK_BYTES of text's worth of grams, so holds whole contexts of orders from
 SPLIT on, adds up the counts of all chunks and sends each chunk its own grams back with their
-probabilities. Orders below SPLIT, by the byte alphabet 2^24 grams at most and far fewer in text,
+probabilities. Sorted arrays are added to in place of a few keys at a time, so a task's largest array stands
+there twice at most. Orders below SPLIT, by the byte alphabet 2^24 grams at most and far fewer in text,
 are counted over the whole corpus and broadcast. A task holds one chunk, or one part. A part can't be smaller
 than the commonest context of SPLIT bytes; a larger SPLIT deals finer for a larger broadcast.
 
-The base is a unigram model over words with add-half smoothing. Its most frequent
-words, FREQUENT at most, are looked up in a broadcast; other words are joined.
+The base is a unigram model over words with add-half smoothing. A chunk's distinct words go the same way
+as its grams, in the same rows, parts being ranges of their numbers; counts in the corpus come back alone, in
+the words' order, as a chunk finds that order again. No word is a row of its own, and a frequent one is sent once a chunk.
 
 Words and grams are known by 64-bit numbers. Defined cases: null and empty texts are the end
 token alone; null ids are training rows; repeated rows are each counted and scored; an empty
@@ -40,7 +42,6 @@ from . import textops as X
 from .util import cut, held_out, release
 
 ORDER = 6
-FREQUENT = 1 << 18
 CHUNK = 1 << 21
 CHUNK_BYTES = 1 << 24
 SPLIT = 3
@@ -89,13 +90,39 @@ def _tally(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[at], np.diff(np.append(at, len(a)))
 
 
-def _merge(a, b):
-    """Sums two sorted tallies; a stable sort finds the two runs."""
-    keys, n = np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
-    o = np.argsort(keys, kind="stable")
-    keys, n = keys[o], n[o]
-    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[at], np.add.reduceat(n, at)
+def _into(keys: np.ndarray, n: np.ndarray, more: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A sorted tally with a smaller one added. Besides both, only one new array of the larger is held at a time."""
+    at = np.searchsorted(keys, more)
+    there = np.zeros(len(more), bool)
+    inside = at < len(keys)
+    there[inside] = keys[at[inside]] == more[inside]
+    n[at[there]] += m[there].astype(n.dtype)
+    if there.all():
+        return keys, n
+    return np.insert(keys, at[~there], more[~there]), np.insert(n, at[~there], m[~there])
+
+
+class Tally:
+    """Sorted distinct keys with their training counts; keys of held-out rows alone have 0. Adds CHUNK of them at a time."""
+
+    def __init__(self):
+        self.keys, self.n = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+        self.fresh, self.size = {True: [], False: []}, 0
+
+    def add(self, keys: np.ndarray, train: bool) -> None:
+        self.fresh[train].append(keys)
+        self.size += len(keys)
+        if self.size >= CHUNK:
+            self.fold()
+
+    def fold(self) -> tuple[np.ndarray, np.ndarray]:
+        for train, parts in self.fresh.items():
+            if parts:
+                keys, n = _tally(np.concatenate(parts))
+                parts.clear()
+                self.keys, self.n = _into(self.keys, self.n, keys, n if train else np.zeros_like(n))
+        self.size = 0
+        return self.keys, self.n
 
 
 class Trie:
@@ -183,15 +210,6 @@ def _collect(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return k[o], n[o]
 
 
-def _least(counted: DataFrame, most: int) -> int:
-    """The smallest power of two that at most `most` counts reach."""
-    sizes = {int(r["b"]): r["c"] for r in counted.groupBy(F.floor(F.log2("n")).alias("b")).agg(F.count("*").alias("c")).collect()}
-    least = 1
-    while sum(c for b, c in sizes.items() if 2**b >= least) > most:
-        least *= 2
-    return least
-
-
 def pack(x: np.ndarray) -> bytes:
     """Numbers as compressed byte planes, after their size."""
     planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
@@ -250,191 +268,203 @@ def _unpacked(blob, most: int):
             yield b.slice(s, e - s)
 
 
-def _gram_tallies(blob, order: int):
-    """Sorted distinct grams of a chunk with their training counts; grams of held-out rows alone have 0."""
-    held = {}
-
-    def fold(kind, parts):
-        part = _tally(np.concatenate(parts))
-        held[kind] = _merge(held[kind], part) if kind in held else part
-
-    fresh = {0: [], 1: []}
+def _tallies(blob, order: int):
+    """Tallies of a chunk's grams, and of its words with the ends."""
+    found, words = Tally(), Tally()
     for sub in _unpacked(blob, 1 << 20):
         out = sub.column(2)
-        for kind, rows in ((0, sub.filter(pc.invert(out))), (1, sub.filter(out))):
+        for train, rows in ((True, sub.filter(pc.invert(out))), (False, sub.filter(out))):
             if rows.num_rows:
                 t = X.flat(rows.column(3))
-                data, bounds, _ = streams(t, X.split(t, X.NOT_SPACE), order)
-                fresh[kind].append(grams(data, bounds, order))
-                if sum(map(len, fresh[kind])) >= CHUNK:
-                    fold(kind, fresh[kind])
-                    fresh[kind] = []
-    for kind in (0, 1):
-        if fresh[kind]:
-            fold(kind, fresh[kind])
-    if 1 in held:
-        other = (held[1][0], np.zeros(len(held[1][0]), np.int64))
-        held[0] = _merge(held[0], other) if 0 in held else other
-    return held.get(0, (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+                w = X.split(t, X.NOT_SPACE)
+                data, bounds, _ = streams(t, w, order)
+                found.add(grams(data, bounds, order), train)
+                words.add(X.word_hashes(t, w, lower=True), train)
+                words.add(np.repeat(_END_KEY, len(t)), train)
+    return found.fold(), words.fold()
+
+
+def _packed_parts(keys: np.ndarray, n: np.ndarray, ends: np.ndarray, order: np.ndarray | None = None):
+    """Packed keys and counts of each part, up to its end; None where it has none."""
+    for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False):
+        i = slice(a, b) if order is None else order[a:b]
+        yield (pack_sorted(keys[i]), pack(n[i])) if b > a else (None, None)
+
+
+def _by_context(keys: np.ndarray, n: np.ndarray, split: int, parts: int):
+    """Grams dealt by the last `split` bytes of their contexts."""
+    part = np.empty(len(keys), np.int32)
+    for a in range(0, len(keys), 1 << 18):
+        part[a : a + (1 << 18)] = X.mix((keys[a : a + (1 << 18)] >> _U8) & np.uint64(256**split - 1)) % np.uint64(parts)
+    return _packed_parts(keys, n, np.cumsum(np.bincount(part, minlength=parts)), np.argsort(part, kind="stable"))
+
+
+def _by_range(keys: np.ndarray, n: np.ndarray, parts: int):
+    """Words dealt by ranges of their numbers, so that parts in order hold them in order."""
+    last = np.array([(i + 1) * 2**64 // parts - 1 for i in range(parts)], np.uint64)
+    return _packed_parts(keys, n, np.searchsorted(keys, last, "right"))
+
+
+_ASKED = pa.schema([("part", pa.int64()), ("chunk", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("words", pa.binary()), ("uses", pa.binary())])
 
 
 def _asked(order: int, split: int, parts: int):
-    """Rows (part, chunk, keys, counts) of chunks (chunk, rows)."""
+    """Rows (part, chunk, keys, counts, words, uses) of chunks (chunk, rows); null where a chunk has none of a part."""
 
     def run(batches):
         for b in batches:
             for chunk, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                keys, n = _gram_tallies(blob.as_buffer(), order)
-                part = (X.mix((keys >> _U8) & np.uint64(256**split - 1)) % np.uint64(parts)).astype(np.int64)
-                o = np.argsort(part, kind="stable")
-                found, at = np.unique(part[o], return_index=True)
-                own = np.split(o, at[1:])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(found), pa.array(np.full(len(found), chunk, np.int64)), pa.array([pack_sorted(keys[i]) for i in own] if len(found) else [], pa.binary()), pa.array([pack(n[i].astype(np.uint32)) for i in own] if len(found) else [], pa.binary())], names=["part", "chunk", "keys", "counts"]
-                )
+                found, words = _tallies(blob.as_buffer(), order)
+                both = zip(_by_context(*found, split, parts), _by_range(*words, parts), strict=True)
+                rows = [(i, chunk, *x, *y) for i, (x, y) in enumerate(both) if x[0] or y[0]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ASKED, strict=True)], schema=_ASKED)
 
     return run
 
 
-def _counted(order: int, split: int):
-    """Training words (kind 1) and grams of order split (kind 2) of chunks (rows), with counts, each once a slice."""
+def _short(order: int, split: int):
+    """Distinct training grams of order split of chunks (rows), each once a slice."""
 
     def run(batches):
         for b in batches:
             for blob in b.column(0):
-                held = {}
+                held = np.zeros(0, np.uint64)
                 for sub in _unpacked(blob.as_buffer(), 1 << 21):
                     rows = sub.filter(pc.invert(sub.column(2)))
-                    if not rows.num_rows:
-                        continue
-                    t = X.flat(rows.column(3))
-                    w = X.split(t, X.NOT_SPACE)
-                    data, bounds, _ = streams(t, w, order)
-                    fresh = {1: np.concatenate([X.word_hashes(t, w, lower=True), np.repeat(_END_KEY, len(t))])}
-                    if split:
-                        fresh[2] = grams(data, bounds, order) & np.uint64(256 ** (split + 1) - 1)
-                    for kind, keys in fresh.items():
-                        held[kind] = _merge(held[kind], _tally(keys)) if kind in held else _tally(keys)
-                        if len(held[kind][0]) >= HELD:
-                            yield from _rows_of(kind, *held.pop(kind))
-                for kind, tally in held.items():
-                    yield from _rows_of(kind, *tally)
+                    if rows.num_rows:
+                        t = X.flat(rows.column(3))
+                        data, bounds, _ = streams(t, X.split(t, X.NOT_SPACE), order)
+                        held = np.union1d(held, grams(data, bounds, order) & np.uint64(256 ** (split + 1) - 1))
+                    if len(held) >= HELD:
+                        yield from _rows_of(held)
+                        held = held[:0]
+                yield from _rows_of(held)
 
     return run
 
 
-def _rows_of(kind: int, keys: np.ndarray, n: np.ndarray):
+def _rows_of(keys: np.ndarray):
     for a in range(0, len(keys), 1 << 16):
-        k = keys[a : a + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k.view(np.int64)), pa.array(n[a : a + (1 << 16)].astype(np.int64))], names=["kind", "key", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + (1 << 16)].view(np.int64))], names=["key"])
 
 
-def _low_orders(counted: DataFrame, split: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def _low_orders(chunks: DataFrame, order: int, split: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Orders below `split` of the whole corpus: a gram counts the distinct ones of order split that end in it."""
     if not split:
         return []
-    longer = counted.where("kind = 2").select("key").distinct()
+    longer = chunks.select("rows").mapInArrow(_short(order, split), "key long").distinct()
     return lower_orders(*_collect(longer.groupBy(F.col("key").bitwiseAND(F.lit(256**split - 1)).alias("key")).agg(F.count("*").alias("n"))), split - 1)
 
 
+def _added(keys: pa.ChunkedArray, counts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The packed tallies of all chunks as one."""
+    out, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    fresh, size = [], 0
+    for i in range(len(keys) + 1):
+        if i < len(keys) and keys[i].is_valid:
+            fresh.append((unpack_sorted(keys[i].as_py()), unpack(counts[i].as_py(), np.uint32)))
+            size += len(fresh[-1][0])
+        if fresh and (i == len(keys) or size >= CHUNK):
+            a, b = (np.concatenate(x) for x in zip(*fresh, strict=True))
+            o = np.argsort(a, kind="stable")
+            a, b = a[o], b[o].astype(np.int64)
+            at = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
+            out, n = _into(out, n, a[at], np.add.reduceat(b, at))
+            fresh, size = [], 0
+    return out, n
+
+
+_KNOWN = "part long, chunk long, keys binary, p binary, uses binary, total long, v long"
+
+
 def _solved(shared, order: int, split: int):
-    """(chunk, keys, p) of one part's rows."""
+    """Of one part's rows the grams' probabilities and the words' counts; total and v: all its training words, and distinct ones."""
+
+    def told(keys: pa.ChunkedArray, all_keys: np.ndarray, value: np.ndarray) -> pa.Array:
+        return pa.array([pack(value[np.searchsorted(all_keys, unpack_sorted(k.as_py()))]) if k.is_valid else None for k in keys], pa.binary())
 
     def run(part: pa.Table) -> pa.Table:
-        part = part.select(["chunk", "keys", "counts"]).combine_chunks()
-        keys, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        fresh, size = [], 0
-        for i in range(part.num_rows + 1):
-            if i < part.num_rows:
-                k = unpack_sorted(part.column("keys")[i].as_py())
-                fresh.append((k, unpack(part.column("counts")[i].as_py(), np.uint32).astype(np.int64)))
-                size += len(k)
-            if fresh and (i == part.num_rows or size >= CHUNK):
-                a, b = (np.concatenate([x[j] for x in fresh] + [(keys, n)[j]]) for j in (0, 1))
-                o = np.argsort(a, kind="stable")
-                a, b = a[o], b[o]
-                at = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
-                keys, n = a[at], np.add.reduceat(b, at)
-                fresh, size = [], 0
+        words, n = _added(part["words"], part["uses"])
+        uses, total, v = told(part["words"], words, n), int(n.sum()), int((n > 0).sum())
+        keys, n = _added(part["keys"], part["counts"])
         seen = n > 0
         trie = Trie(shared.value + lower_orders(keys[seen], n[seen], order)[split:])
-        p = np.concatenate([np.zeros(0)] + [trie.score(keys[a : a + (1 << 18)]) for a in range(0, len(keys), 1 << 18)]).astype(np.float32)
-        own = [pack(p[np.searchsorted(keys, unpack_sorted(k.as_py()))]) for k in part.column("keys")]
-        return pa.table([part.column("chunk"), part.column("keys"), pa.array(own, pa.binary())], names=["chunk", "keys", "p"])
+        del n, seen
+        p = np.concatenate([np.zeros(0, np.float32)] + [trie.score(keys[a : a + (1 << 18)]).astype(np.float32) for a in range(0, len(keys), 1 << 18)])
+        del trie
+        once = lambda x: pa.array([x] + [0] * (part.num_rows - 1), pa.int64())
+        return pa.table([part["part"], part["chunk"], part["keys"], told(part["keys"], keys, p), uses, once(total), once(v)], names=[x.split()[0] for x in _KNOWN.split(", ")])
 
     return run
 
 
-def _scored(shared, order):
-    """A chunk's rows and the probabilities of its grams: code, frequent words' sum, other words."""
+def _joined(column: pa.ChunkedArray, read, kind) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind)] + [read(x.as_py()) for x in column if x.is_valid])
+
+
+def _value(keys: np.ndarray, value: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Values of wanted keys, all of which are among the sorted keys."""
+    # In order, so that a search stays where the one before it ended.
+    distinct, at = np.unique(wanted, return_inverse=True)
+    return value[np.searchsorted(keys, distinct)][at]
+
+
+def _scored(order):
+    """A chunk's rows with the probabilities of its grams and the counts of its words: n_known, logs (words' sum of log10(c + 0.5)), score."""
 
     def run(rows: pa.Table, own: pa.Table) -> pa.Table:
-        keys, logs = shared.value
-        frequent = X.Table(keys)
-        known_grams = X.Table(np.concatenate([np.zeros(0, np.uint64)] + [unpack_sorted(k.as_py()) for k in own.column("keys")]))
-        p = np.concatenate([np.zeros(0, np.float32)] + [unpack(k.as_py(), np.float32) for k in own.column("p")]).astype(np.float64)
-        out = []
-        for blob in rows.column("rows"):
+        own = own.sort_by("part")
+        keys = _joined(own["keys"], unpack_sorted, np.uint64)
+        o = np.argsort(keys)
+        keys = keys[o]
+        p = _joined(own["p"], lambda x: unpack(x, np.float32), np.float32)[o]
+        del o
+        held = []
+        for blob in rows["rows"]:
             for sub in _unpacked(blob.as_buffer(), 1 << 19):
                 t = X.flat(sub.column(3))
                 w = X.split(t, X.NOT_SPACE)
                 data, bounds, length = streams(t, w, order)
-                code = p[known_grams.find(grams(data, bounds, order))]
-                score = np.add.reduceat(code, np.cumsum(length) - length)
-                h = X.word_hashes(t, w, lower=True)
-                row, doc = frequent.find(h), w.doc
-                easy = np.bincount(doc, np.where(row >= 0, logs[np.maximum(row, 0)] if len(logs) else 0.0, 0.0), len(t))
-                known = np.bincount(doc, row >= 0, len(t)).astype(np.int64)
-                rare = row < 0
-                ends = np.cumsum(np.bincount(doc, rare, len(t)).astype(np.int32))
-                rest = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(h[rare].view(np.int64)))
-                out.append(pa.RecordBatch.from_arrays([*sub.columns[:3], pa.array(np.diff(w.first) + 1), pa.array(score), pa.array(easy), pa.array(known), rest], schema=_SCORED))
+                code = _value(keys, p, grams(data, bounds, order)).astype(np.float64)
+                held.append((sub.select([1, 2]), X.word_hashes(t, w, lower=True), np.diff(w.first), np.add.reduceat(code, np.cumsum(length) - length)))
+        del keys, p
+        words = np.unique(np.concatenate([_END_KEY, *(h for _, h, _, _ in held)]))
+        uses = _joined(own["uses"], lambda x: unpack(x, np.int64), np.int64)
+        ends = int(uses[np.searchsorted(words, _END_KEY[0])])
+        out = []
+        for sub, h, n, score in held:
+            c, doc = _value(words, uses, h), np.repeat(np.arange(len(n)), n)
+            logs = np.bincount(doc, np.log10(c + 0.5), len(n)) + np.log10(ends + 0.5)
+            known = np.bincount(doc, c > 0, len(n)).astype(np.int64) + (ends > 0)
+            out.append(pa.RecordBatch.from_arrays([*sub.columns, pa.array(n + 1), pa.array(known), pa.array(logs), pa.array(score)], schema=_SCORED))
         return pa.Table.from_batches(out, _SCORED)
 
     return run
 
 
-_SCORED = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("score", pa.float64()), ("easy", pa.float64()), ("easy_known", pa.int64()), ("rest", pa.list_(pa.int64()))])
+_SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("logs", pa.float64()), ("score", pa.float64())])
+
 
+def score(docs: DataFrame, order: int = ORDER, folds: int = 5, frequent: int | None = None) -> DataFrame:
+    """One row per document; training rows are those that aren't held out (crc32 of the id modulo folds isn't 1).
 
-def score(docs: DataFrame, order: int = ORDER, folds: int = 5, frequent: int = FREQUENT) -> DataFrame:
-    """One row per document; training rows are those that aren't held out (crc32 of the id modulo folds isn't 1)."""
+    frequent is accepted for callers that give it; no words are broadcast, so it changes nothing.
+    """
     spark = docs.sparkSession
     rows = docs.select(F.spark_partition_id().alias("part"), F.col("doc_id").cast("long").alias("doc_id"), held_out("doc_id", folds).alias("held_out"), F.col("text").cast("string").alias("text"))
     split = min(SPLIT, order)
-    # Written once, so row numbers and chunks are the same in each later read.
+    # Written once, so chunks are the same in each later read.
     chunks = cut(rows.mapInArrow(_packed, "chunk long, size long, rows binary"))
-    counted = cut(chunks.select("rows").mapInArrow(_counted(order, split), "kind int, key long, n long"))
-    words = cut(counted.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")))
-    whole = words.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    total, distinct = int(whole["n"] or 0), int(whole["v"])
-    keys, n = _collect(words.where(F.col("n") >= _least(words, frequent)))
-    end_key = int(_END_KEY.view(np.int64)[0])
-    ends = words.where(F.col("key") == end_key).agg(F.sum("n")).first()[0] or 0
-    below = np.log10(total + 0.5 * (distinct + 1))
-    low = spark.sparkContext.broadcast(_low_orders(counted, split))
-    release(counted)
+    low = spark.sparkContext.broadcast(_low_orders(chunks, order, split))
     size = chunks.agg(F.sum("size")).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(size) // CHUNK_BYTES))
-    asked = chunks.select("chunk", "rows").mapInArrow(_asked(order, split, parts), "part long, chunk long, keys binary, counts binary")
-    known = cut(asked.groupBy("part").applyInArrow(_solved(low, order, split), "chunk long, keys binary, p binary"))
-    shared = spark.sparkContext.broadcast((keys, np.log10(n + 0.5)))
-    scored = chunks.select("chunk", "rows").groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(_scored(shared, order), "row long, doc_id long, held_out boolean, n_tokens long, score double, easy double, easy_known long, rest array<long>")
-    part = cut(scored)
+    asked = chunks.select("chunk", "rows").mapInArrow(_asked(order, split, parts), "part long, chunk long, keys binary, counts binary, words binary, uses binary")
+    known = cut(asked.groupBy("part").applyInArrow(_solved(low, order, split), _KNOWN))
+    whole = known.agg(F.sum("total").alias("n"), F.sum("v").alias("v")).first()
+    total, distinct = int(whole["n"] or 0), int(whole["v"] or 0)
+    below = np.log10(total + 0.5 * (distinct + 1))
+    scored = chunks.select("chunk", "rows").groupBy("chunk").cogroup(known.drop("total", "v").groupBy("chunk")).applyInArrow(_scored(order), "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double")
+    out = cut(scored)
     release(chunks, known)
-    # Rare words are spread over many keys; frequent ones were settled above and never move.
-    rest = part.select("row", F.explode("rest").alias("key")).join(words.withColumnRenamed("n", "c"), "key", "left").groupBy("row").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.5))).alias("hard"), F.count("c").alias("hard_known"))
-    zero = F.lit(0)
-    return (
-        part.drop("rest")
-        .join(rest, "row", "left")
-        .select(
-            "doc_id",
-            "held_out",
-            "n_tokens",
-            (F.col("easy_known") + F.coalesce("hard_known", zero) + F.lit(1 if ends else 0)).cast("long").alias("n_known"),
-            F.lit(total).cast("long").alias("train_tokens"),
-            (F.col("easy") + F.coalesce("hard", zero) + F.lit(float(np.log10(ends + 0.5))) - F.col("n_tokens") * F.lit(float(below))).alias("base_score"),
-            "score",
-        )
-    )
+    base = F.col("logs") - F.col("n_tokens") * F.lit(float(below))
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score")

@@ -110,6 +110,37 @@ def test_every_gram_counts_in_small_chunks(spark, monkeypatch):
     assert len(got) == len(rows) and all(np.isclose(got[i], model.score(t)) for i, t in rows)
 
 
+def test_words_are_no_rows(spark, monkeypatch):
+    """Tables written on the way have rows by documents, chunks and parts, however many words there are."""
+    rng = random.Random(6)
+    rows = [(i, " ".join(f"{rng.randrange(36**6):x}" for _ in range(500))) for i in range(40)]
+    plain, seen = M.cut, []
+    monkeypatch.setattr(M, "cut", lambda df: seen.append(plain(df)) or seen[-1])
+    monkeypatch.setattr(M, "release", lambda *frames: None)
+    assert M.score(spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)).count() == 40
+    assert max(df.count() for df in seen) <= max(40, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def test_a_chunk_holds_few_bytes_a_gram(monkeypatch):
+    """Of a chunk's distinct grams and of those that come back, tasks hold the keys about twice."""
+    import tracemalloc
+
+    monkeypatch.setattr(M, "CHUNK", 1 << 14)
+    rng = np.random.default_rng(2)
+    texts = [bytes(x).decode() for x in rng.integers(97, 123, (200, 4000), dtype=np.uint8)]
+    n = len(texts)
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int32()), pa.array(range(n), pa.int64()), pa.array([i % 5 == 1 for i in range(n)]), pa.array(texts)], names=["part", "doc_id", "held_out", "text"])
+    # Texts of a slice are not what is measured.
+    monkeypatch.setattr(X, "slices", lambda column, most=0: [(i, i + 4) for i in range(0, len(column), 4)])
+    (chunk,) = M._packed([batch])
+    tracemalloc.start()
+    for _ in M._asked(M.ORDER, M.SPLIT, 64)([chunk.select(["chunk", "rows"])]):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 55 * 4000 * n
+
+
 def test_beats_unigrams(spark, sf):
     p = M.score(spark.read.parquet(f"{sf}/../sf0.1/documents.parquet")).where("held_out").toPandas()
     assert p["score"].sum() > p["base_score"].sum()
