@@ -1,8 +1,8 @@
 """Quality rules: an isolation forest on rule statistics, calibrated on labelled rows.
 
-Rule statistics come from every whole text. The forest is fitted on a bounded sample of
-labelled rows (FIT_ROWS, the rows with the least hash of doc_id). Every labelled row then
-sets the threshold through a histogram of its score. A document goes if a base rule fails
+Rule statistics come from every whole text. Each tree of the forest isolates TREE_ROWS rows, as the method
+has it, drawn for that tree from all labelled rows: those of the least hash of the row, the tree and, for
+repeated rows, the copy. Every labelled row then sets the threshold through a histogram of its score. A document goes if a base rule fails
 (few words, or mostly repeated three-word phrases) or its isolation score passes the threshold.
 
 The forest sees by how much each statistic passes a usual limit. Raw statistics were measured
@@ -28,9 +28,10 @@ from pyspark.sql import functions as F
 from . import textops as X
 from .util import cut, numbered
 
-FIT_ROWS = 8192
 TREES = 128
 TREE_ROWS = 256
+#: Rows that enter a tree's draw on average, of any number: so many that fewer than TREE_ROWS never do (nine deviations).
+ENTRANTS = 440
 #: Least share of the good labelled rows that a threshold must keep.
 KEEP_GOOD = 0.99
 BINS = 2000
@@ -141,17 +142,19 @@ def _expected(n) -> float:
     return 0.0 if n < 2 else 2 * (np.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n
 
 
-def fit(x: np.ndarray, trees: int = TREES, rows: int = TREE_ROWS, seed: int = 11) -> Forest:
+def fit(x: np.ndarray | list[np.ndarray], trees: int = TREES, rows: int = TREE_ROWS, seed: int = 11) -> Forest:
+    """x: rows that each tree draws its own from, or the rows drawn for each tree."""
     rng = np.random.default_rng(seed)
-    rows = min(rows, len(x))
+    drawn = isinstance(x, list)
+    trees, rows = (len(x), max(map(len, x))) if drawn else (trees, min(rows, len(x)))
     depth = max(1, int(np.ceil(np.log2(max(rows, 2)))))
     size = 2 ** (depth + 1) - 1
     feature, split, length = np.full((trees, size), -1), np.zeros((trees, size)), np.zeros((trees, size))
     for k in range(trees):
-        todo = [(0, 0, x[rng.choice(len(x), rows, replace=False)])]
+        todo = [(0, 0, x[k] if drawn else x[rng.choice(len(x), rows, replace=False)])]
         while todo:
             node, d, part = todo.pop()
-            low, high = (part.min(0), part.max(0)) if len(part) else (np.zeros(x.shape[1]),) * 2
+            low, high = (part.min(0), part.max(0)) if len(part) else (np.zeros(part.shape[1]),) * 2
             wide = np.flatnonzero(high > low)
             if d == depth or len(part) < 2 or not len(wide):
                 length[k, node] = d + _expected(len(part))
@@ -178,14 +181,44 @@ def measure(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> D
     return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"doc_id long, {_STAT_TYPES}")
 
 
+def _entered(trees: int, share: float, seed: int):
+    """Rows (tree, u, x) of rows (statistics, h, copies): what lies under `share` in each tree's draw."""
+    seeds = np.array([X.seeded(seed * 1000 + k) for k in range(trees)], np.uint64)
+
+    def run(batches):
+        for b in batches:
+            x = features({k: b.column(k).to_numpy(zero_copy_only=False) for k in COUNTS + MORE})
+            h, copies = b.column("h").to_numpy(zero_copy_only=False).view(np.uint64), b.column("copies").to_numpy(zero_copy_only=False)
+            ends = np.cumsum(copies)
+            for a in range(0, int(ends[-1]) if len(ends) else 0, 1 << 14):
+                at = np.arange(a, min(a + (1 << 14), int(ends[-1])))
+                row = np.searchsorted(ends, at, "right")
+                copy = X.mix(h[row] + X.mix((at - ends[row] + copies[row]).astype(np.uint64)))
+                u = (X.mix(copy[:, None] ^ seeds) >> X.U(11)).astype(np.float64) / (1 << 53)
+                i, tree = np.nonzero(u < share)
+                yield pa.RecordBatch.from_arrays([pa.array(tree.astype(np.int32)), pa.array(u[i, tree]), pa.array(list(x[row[i]]), pa.list_(pa.float64()))], names=["tree", "u", "x"])
+
+    return run
+
+
+def draws(known: DataFrame, n: int, trees: int = TREES, rows: int = TREE_ROWS, seed: int = 11) -> list[np.ndarray]:
+    """The features of each tree's rows, of all n rows. The driver gets about ENTRANTS rows a tree."""
+    once = known.groupBy("doc_id", "quality", *COUNTS, *MORE).agg(F.count("*").alias("copies")).withColumn("h", F.xxhash64("doc_id", *COUNTS, *MORE))
+    got = once.mapInArrow(_entered(trees, ENTRANTS / n, seed), "tree int, u double, x array<double>").toArrow()
+    tree, u, x = got["tree"].to_numpy(), got["u"].to_numpy(), np.array(got["x"].to_pylist(), float)
+    o = np.lexsort((*x.T, u, tree))
+    ends = np.searchsorted(tree[o], np.arange(trees), "right")
+    return [x[o[a:b]][:rows] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+
 def calibrate(stats: DataFrame, labels: DataFrame, keep_good: float = KEEP_GOOD) -> tuple[Forest | None, float]:
-    """Fits the forest on FIT_ROWS labelled rows and sets the threshold over all of them."""
+    """Fits the forest on draws from all labelled rows and sets the threshold over all of them."""
     marks = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     known = cut(stats.join(marks, "doc_id"))
-    sample = known.orderBy(F.xxhash64("doc_id"), *COUNTS).limit(FIT_ROWS).toPandas()
-    if len(sample) < 8 or sample["quality"].nunique() < 2:
+    n, kinds = known.agg(F.count("*"), F.countDistinct("quality")).first()
+    if n < 8 or kinds < 2:
         return None, 2.0
-    forest = fit(features(sample))
+    forest = fit(draws(known, n))
 
     def run(batches):
         for b in batches:

@@ -79,6 +79,32 @@ def test_threshold_against_plain(spark, sf):
     assert gain(t) == max(gain(k / Q.BINS) for k in range(Q.BINS + 1))
 
 
+def test_forest_draws_from_all_labelled_rows(spark, monkeypatch):
+    """Each tree's rows are those of its least draws; together the trees see far more rows than any one pool held."""
+    import numpy as np
+    import pandas as pd
+
+    n = 20_000
+    pdf = pd.DataFrame({"doc_id": range(n), **{k: np.arange(n) * 0 + 100 for k in Q.COUNTS + Q.MORE}})
+    # Another feature for each row; ten rows are there five hundred times more.
+    pdf["word_chars"] = 2000 + np.arange(n)
+    pdf = pd.concat([pdf] + [pdf[:10]] * 500)
+    labels = spark.createDataFrame([(i, int(i % 7 > 0)) for i in range(n)], "doc_id long, quality int")
+    seen, plain = [], Q.fit
+    monkeypatch.setattr(Q, "fit", lambda x, *args: seen.append(x) or plain(x, *args))
+    stats = spark.createDataFrame(pdf)
+    Q.calibrate(stats, labels)
+    Q.calibrate(stats.repartition(3), labels)
+    first, again = seen
+    drawn = np.concatenate(first)
+    assert len({r.tobytes() for r in drawn}) > 12_000
+    assert [len(x) for x in first] == [Q.TREE_ROWS] * Q.TREES
+    assert all((a == b).all() for a, b in zip(first, again, strict=True))
+    often = {r.tobytes() for r in Q.features(pdf[:10])}
+    share = np.mean([r.tobytes() in often for r in drawn])
+    assert abs(share - 5010 / 25_000) < 0.01
+
+
 def test_verdicts_on_odd_rows(odd, odd_rows, none, marks):
     got = Q.verdicts(odd, marks).collect()
     assert len(got) == len(odd_rows)
