@@ -15,7 +15,7 @@ from pyspark.sql.types import StructType
 
 from .reader import Snapshot
 
-VERSION = 1
+VERSION = 2
 
 
 class WireError(ValueError):
@@ -26,8 +26,8 @@ def _summary(parsed: DataFrame) -> dict:
     """Documents, axioms and a checksum of the parsed rows; the same whatever the partitions."""
     text = F.to_json(F.struct(*(F.hex(c).alias(c) if t == "binary" else F.col(c) for c, t in parsed.dtypes)))
     h = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("decimal(38,0)")
-    r = parsed.agg(F.count("*").alias("documents"), F.sum(F.size("roots")).alias("roots"), F.sum(F.size("nodes")).alias("nodes"), F.sum("byte_length").alias("bytes"), F.sum(h).alias("sum")).first()
-    return {"documents": r["documents"], "roots": int(r["roots"] or 0), "nodes": int(r["nodes"] or 0), "bytes": int(r["bytes"] or 0), "checksum": str(r["sum"] or 0)}
+    r = parsed.agg(*(F.count_if(F.col("part") == p).alias(f"{p}s") for p in ("document", "root", "node")), F.sum("byte_length").alias("bytes"), F.sum(h).alias("sum")).first()
+    return {"documents": r["documents"], "roots": r["roots"], "nodes": r["nodes"], "bytes": int(r["bytes"] or 0), "checksum": str(r["sum"] or 0)}
 
 
 def _file(spark: SparkSession, path: str):
