@@ -698,7 +698,7 @@ def fingerprints(t):
 
 @query("SELECT document_key, count(*) AS n, sha256('document' || chr(10) || cast(count(*) AS varchar) || chr(10) || string_agg(d, '' ORDER BY d)) AS fingerprint FROM (SELECT DISTINCT document_key, sha256(root_id) AS d FROM root) x GROUP BY 1")
 def document_fingerprints(t):
-    return algebra.document_fingerprints(t.root)
+    return algebra.document_fingerprints(t.repeating("root"))
 
 
 @query("SELECT count(*) AS n, sha256('logical' || chr(10) || cast(count(*) AS varchar) || chr(10) || string_agg(d, '' ORDER BY d)) AS fingerprint FROM (SELECT DISTINCT sha256(root_id) AS d FROM root WHERE tag > 60 AND tag < 120) x")
