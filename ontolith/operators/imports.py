@@ -75,8 +75,9 @@ def resolve_mapping(requests: DataFrame, mapping: DataFrame, limit: int = 128) -
 def resolve_catalog(requests: DataFrame, exact: DataFrame, rewrites: DataFrame) -> DataFrame:
     """An exact entry (iri, target) first, then the longest prefix (prefix, replacement)."""
     hit = requests.join(exact.withColumnRenamed("target", "exact"), "iri", "left")
-    # Prefixes of a request are few: an equi join on each of its own prefixes, not a theta join.
-    own = requests.select("iri", F.explode(F.expr("transform(sequence(1, length(iri)), n -> substring(iri, 1, n))")).alias("prefix"))
+    # An equi join, not a theta join, on those of a request's own prefixes that are as long as some rule's: lengths are few, whatever the rules.
+    lengths = rewrites.where("prefix <> ''").agg(F.collect_set(F.length("prefix")).alias("lengths"))
+    own = requests.crossJoin(F.broadcast(lengths)).select("iri", F.explode(F.expr("transform(filter(lengths, n -> n <= length(iri)), n -> substring(iri, 1, n))")).alias("prefix"))
     best = own.join(rewrites, "prefix").groupBy("iri").agg(F.max_by(F.struct("prefix", "replacement"), F.struct(F.length("prefix"), "replacement")).alias("r"))
     out = hit.join(best, "iri", "left")
     return out.select("iri", F.coalesce("exact", F.concat(F.col("r.replacement"), F.expr("substring(iri, length(r.prefix) + 1)"))).alias("target"))

@@ -2,7 +2,7 @@
 
 import hashlib
 
-from ontolith.operators import algebra
+from ontolith.operators import algebra, imports
 
 
 def rows(spark, kind, *values):
@@ -22,3 +22,12 @@ def test_fingerprints_of_large_documents_are_streamed(spark, monkeypatch):
     for held in (1 << 18, 200, 0):
         got = algebra.document_fingerprints(root, held, 100)
         assert {r["document_key"]: (r["n"], r["fingerprint"]) for r in got.collect()} == {k: plain(rs) for k, rs in told.items()}
+
+
+def test_catalog_asks_only_for_prefixes_as_long_as_rules(spark):
+    asked = rows(spark, "iri string", ("http://h/x/y",), ("http://h/z",), ("ht",), ("",), ("urn:a",))
+    rules = rows(spark, "prefix string, replacement string", ("http://h/", "f/"), ("http://h/x/", "g/"), ("urn:a", "all"), ("", "none"), (None, "none"))
+    found = imports.resolve_catalog(asked, rows(spark, "iri string, target string", ("urn:b", "one")), rules)
+    assert {r["iri"]: r["target"] for r in found.collect()} == {"http://h/x/y": "g/y", "http://h/z": "f/z", "ht": None, "": None, "urn:a": "all"}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(" not in plan and "collect_set" in plan
