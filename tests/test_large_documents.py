@@ -62,6 +62,7 @@ ASKED = {
     "parsed_preferred_labels": {"root"},
     "parsed_nested_annotations": {"occurrence"},
     "parsed_places_of_an_iri": {"occurrence"},
+    "parsed_places_without_axiom": {"occurrence", "root"},
 }
 
 
